@@ -225,15 +225,7 @@ _TOKEN = re.compile(r"[^ \t\n\r]+")
 _HAN_RUN = re.compile("[^\\x00-\\x7f，。：；？！（）“”]{2,}")
 _HAN = re.compile("[\\u3400-\\u9fff]")
 
-_known: dict[str, str | None] = {}
-
-
-def _restored(token: str) -> str | None:
-    if token not in _known:
-        if len(_known) > CACHE:
-            _known.clear()
-        _known[token] = restore(token)
-    return _known[token]
+_known: dict[str, str] = {}
 
 
 def _han_readings(text: str) -> list[tuple[int, int, str]]:
@@ -252,38 +244,40 @@ def _han_readings(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _token_text(token: str) -> str:
+    """A token with its garbled parts restored; text without blanks is taken from one stop to the next."""
+    got = _known.get(token)
+    if got is None:
+        if len(_known) > CACHE:
+            _known.clear()
+        got = token
+        if _TRIGGER.search(token):
+            parts = _STOPS.split(token)
+            got = "".join((restore(x) or x) if _TRIGGER.search(x) else x for x in parts)
+        if _HAN.search(got):
+            for a, b, back in reversed(_han_readings(got)):
+                got = got[:a] + back + got[b:]
+        _known[token] = got
+    return got
+
+
+_STOPS = re.compile("([，。])")
+
+
 def garbled(text: str) -> bool:
     if text.isascii() and "&" not in text:
         return False
     if _SURE.search(text):
         return True
-    at = 0
-    while m := _TRIGGER.search(text, at):
-        a, b = _around(text, m.start(), m.end())
-        if _restored(text[a:b]) is not None:
-            return True
-        at = max(b, m.end())
-    return bool(_HAN.search(text)) and bool(_han_readings(text))
-
-
-def _around(text: str, a: int, b: int) -> tuple[int, int]:
-    """The token around a trigger; in text without blanks, at most up to the punctuation around it."""
-    while a and text[a - 1] not in " \t\n\r，。":
-        a -= 1
-    while b < len(text) and text[b] not in " \t\n\r，。":
-        b += 1
-    return a, b
+    words = set(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+    return any((not w.isascii() or "&" in w) and _token_text(w) != w for w in words)
 
 
 def restored_text(text: str) -> str:
     """The text with every garbled token restored as far as it can be."""
     if text.isascii() and "&" not in text:
         return text
-    s = _TOKEN.sub(lambda m: (_restored(m.group()) or m.group()) if _TRIGGER.search(m.group()) else m.group(), text)
-    if _HAN.search(s):
-        for a, b, back in reversed(_han_readings(s)):
-            s = s[:a] + back + s[b:]
-    return s
+    return _TOKEN.sub(lambda m: m.group() if m.group().isascii() and "&" not in m.group() else _token_text(m.group()), text)
 
 
 def p10_found(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
