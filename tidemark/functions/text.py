@@ -99,7 +99,10 @@ def bm25(matched: DataFrame, key: str, lang: str, topics: list[str], k1: float =
     Two small aggregates (per language; per topic, language and term) join back; the text isn't read again.
     """
     stats = matched.groupBy(lang).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    long = matched.select(key, lang, "dl", F.explode(F.concat(*[F.transform(t, lambda h, t=t: F.struct(F.lit(t).alias("topic"), h["term"].alias("term"), h["tf"].alias("tf"))) for t in topics])).alias("h"))
+    def of(topic: str) -> Column:
+        return F.transform(topic, lambda h: F.struct(F.lit(topic).alias("topic"), h["term"].alias("term"), h["tf"].alias("tf")))
+
+    long = matched.select(key, lang, "dl", F.explode(F.concat(*map(of, topics))).alias("h"))
     long = long.select(key, lang, "dl", "h.*")
     df = long.groupBy("topic", lang, "term").agg(F.count(F.lit(1)).alias("df"))
     x = long.join(df, ["topic", lang, "term"]).join(stats, lang)
