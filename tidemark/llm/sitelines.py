@@ -122,7 +122,8 @@ def distinct_ids(articles: DataFrame) -> DataFrame:
 
 
 def _excessive(counts: DataFrame, sizes: DataFrame, min_ids: int, share: float) -> DataFrame:
-    return counts.join(sizes, "source_uri").where((F.col("n") >= min_ids) & (F.col("n") >= F.lit(share) * F.col("n_ids")))
+    # in whole numbers: a share of exactly 5 % must not be lost to rounding
+    return counts.join(sizes, "source_uri").where((F.col("n") >= min_ids) & (F.col("n") * 1_000_000 >= F.lit(round(share * 1_000_000)) * F.col("n_ids")))
 
 
 def candidate_lines(articles: DataFrame) -> DataFrame:
