@@ -160,7 +160,7 @@ def p6_found(articles: DataFrame, min_ids: int = MIN_IDS, share: float = MIN_SHA
         by_first.where("size(chunks) = 1").select("source_uri", "id", "line_no", "form")
         .unionByName(
             by_first.where("size(chunks) > 1").withColumn("chunk", F.explode(F.array_distinct("chunks")))
-            .join(often, ["source_uri", "chunk"]).groupBy("source_uri", "id", "line_no", "form", "chunks").agg(F.count(F.lit(1)).alias("k"))
+            .join(often, ["source_uri", "chunk"]).groupBy("source_uri", "id", "line_no", "form", "chunks").agg(F.count_distinct("chunk").alias("k"))
             .where("k = size(array_distinct(chunks))").select("source_uri", "id", "line_no", "form")
         )
     )
