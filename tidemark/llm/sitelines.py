@@ -4,7 +4,7 @@ Every line is brought to its *form* (lower case, no 0-9, white space collapsed),
 content-defined chunks: a cut stands where a 16-byte rolling gear hash hits a mask, restarted at each line, so equal
 forms give equal chunks wherever they stand. Distinct documents are counted per (source, chunk); a line can only be
 repeated excessively if all its chunks are, so lines with a rare chunk are ruled out without ever moving their text.
-The lines left are confirmed exactly: distinct documents per (source, form).
+The lines left are confirmed: distinct documents per (source, form), forms by 128 bits of hash.
 
 Defined results: null or blank contents, null sources and lines with an empty form have no rows; copies of a row count
 once (documents are distinct ids); other columns are ignored.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrow import arrow_map
+from tidemark.session import cut_lineage
 
 #: Bytes of the rolling window, which are also the least size of a chunk.
 WINDOW = 16
@@ -28,6 +29,8 @@ WINDOW = 16
 CUT_BITS = 6
 MIN_IDS = 3
 MIN_SHARE = 0.05
+#: Excessive chunks are broadcast up to this many rows (about 50 bytes each).
+BROADCAST_ROWS = 200_000
 
 _SPACES = [c for c in map(chr, [*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 _RUN = re.compile(" {2,}")
@@ -127,7 +130,7 @@ def _excessive(counts: DataFrame, sizes: DataFrame, min_ids: int, share: float)
 
 
 def candidate_lines(articles: DataFrame) -> DataFrame:
-    """(source_uri, id, line_no, form, first, rest): every non-empty line with its chunks."""
+    """(source_uri, id, line_no, form, chunks): every non-empty line with its chunks."""
     src = articles.where("source_uri is not null and content is not null and id is not null").select("id", "source_uri", "content")
 
     def run(b: pa.RecordBatch):
@@ -143,31 +146,33 @@ def candidate_lines(articles: DataFrame) -> DataFrame:
         offsets = pa.array(np.append(first, len(chunks)).astype(np.int32))
         return {
             "source_uri": b["source_uri"].take(take), "id": b["id"].take(take), "line_no": pa.array(np.asarray(number, np.int32)[rows]),
-            "form": pa.array([flat[r] for r in rows], pa.string()), "first": pa.array(chunks[first]), "chunks": pa.ListArray.from_arrays(offsets, pa.array(chunks)),
+            "form": pa.array([flat[r] for r in rows], pa.string()), "chunks": pa.ListArray.from_arrays(offsets, pa.array(chunks)),
         }
 
-    return arrow_map(src, run, "source_uri string, id string, line_no int, form string, first long, chunks array<long>")
+    return arrow_map(src, run, "source_uri string, id string, line_no int, form string, chunks array<long>")
+
+
+def _small(measured: DataFrame, df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if ``measured`` has few rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if measured.count() <= BROADCAST_ROWS else df
 
 
 def p6_found(articles: DataFrame, min_ids: int = MIN_IDS, share: float = MIN_SHARE) -> DataFrame:
-    """Lines (id, line_no) whose form stands in at least ``min_ids`` ids and ``share`` of the ids of the source."""
-    sizes = distinct_ids(articles)
+    """Lines (id, line_no) whose form stands in at least ``min_ids`` ids and ``share`` of the ids of the source.
+
+    The excessive chunks of a source number at most its chunks per document divided by ``share``. They are materialised
+    once and counted; while they are few they travel to the lines, so that only candidate lines are ever shuffled.
+    """
+    sizes = cut_lineage(distinct_ids(articles))
     counts = chunk_rows(articles).dropDuplicates(["source_uri", "chunk", "h"]).groupBy("source_uri", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    often = _excessive(counts, sizes, min_ids, share).select("source_uri", "chunk")
-    lines = candidate_lines(articles)
-    by_first = lines.join(often.withColumnRenamed("chunk", "first"), ["source_uri", "first"])
-    whole = (
-        by_first.where("size(chunks) = 1").select("source_uri", "id", "line_no", "form")
-        .unionByName(
-            by_first.where("size(chunks) > 1").withColumn("chunk", F.explode(F.array_distinct("chunks")))
-            .join(often, ["source_uri", "chunk"]).groupBy("source_uri", "id", "line_no", "form", "chunks").agg(F.count_distinct("chunk").alias("k"))
-            .where("k = size(array_distinct(chunks))").select("source_uri", "id", "line_no", "form")
-        )
-    )
-    whole = whole.dropDuplicates(["source_uri", "id", "line_no", "form"])
-    exact = whole.select("source_uri", "form", "id").dropDuplicates().groupBy("source_uri", "form").agg(F.count(F.lit(1)).alias("n"))
-    frequent = _excessive(exact, sizes, min_ids, share).select("source_uri", "form")
-    return whole.join(frequent, ["source_uri", "form"]).select("id", "line_no").dropDuplicates()
+    often = cut_lineage(_excessive(counts, sizes, min_ids, share).select("source_uri", "chunk"))
+    # a line is a candidate if all its chunks are excessive; a source's set of them is bounded whatever its size
+    per_source = _small(often, often.groupBy("source_uri").agg(F.collect_set("chunk").alias("often")))
+    lines = candidate_lines(articles).join(per_source, "source_uri").where(F.forall("chunks", lambda c: F.array_contains("often", c)))
+    whole = cut_lineage(lines.select("source_uri", "id", "line_no", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(7), F.col("form")).alias("f2")))
+    exact = whole.select("source_uri", "f1", "f2", F.xxhash64("id").alias("h")).dropDuplicates().groupBy("source_uri", "f1", "f2").agg(F.count(F.lit(1)).alias("n"))
+    frequent = cut_lineage(_excessive(exact, sizes, min_ids, share).select("source_uri", "f1", "f2"))
+    return whole.join(_small(frequent, frequent), ["source_uri", "f1", "f2"]).select("id", "line_no").dropDuplicates()
 
 
 def cleaned(articles: DataFrame, found: DataFrame) -> DataFrame:
