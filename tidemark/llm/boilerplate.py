@@ -89,7 +89,7 @@ Le nuove regole riguardano anche i cookie dell'app del meteo. | Che cosa prepara
 #: How much one occurrence in the few labelled furniture lines weighs against one in clean text.
 BALANCE = 40
 WORD_LOW, WORD_HIGH, WORD_NEW = -4.0, 1.0, 0.35
-LINE_LOW, LINE_HIGH = -10.0, 40.0
+LINE_LOW, LINE_HIGH = -5.0, 40.0
 #: A long sentence is furniture only if its words weigh less than this on average.
 SENTENCE_LOW = -0.6
 #: Lines of the region with at most this score are dropped.

@@ -9,7 +9,7 @@ smoothed by a shortest path that pays ``SWITCH`` bits for each change of languag
 their neighbours. A document's main language holds most of its bytes.
 
 Training takes at most ``MAX_SAMPLES`` labelled rows (lowest ids first), a documented bound; nothing else is sampled.
-Defined results: null and blank contents have no rows; blank lines have no language; an input without samples is an error.
+Defined results: null and blank contents have no rows; blank lines have no language; without samples there are no rows.
 """
 
 from __future__ import annotations
@@ -251,6 +251,8 @@ def train(lang_samples: DataFrame, max_samples: int = MAX_SAMPLES) -> Model:
 
 
 def _labelled(articles: DataFrame, model: Model, findings_only: bool) -> DataFrame:
+    if not model.langs:
+        return articles.sparkSession.createDataFrame([], "id string, line_no int, lang string, confidence double")
     held = articles.sparkSession.sparkContext.broadcast(model)  # bounded by max_samples
     src = articles.where("id is not null and content is not null").select("id", "language", "content")
 
