@@ -57,4 +57,4 @@ def to_nested(keywords: DataFrame) -> DataFrame:
     """One row with the dictionary as JSON: topic -> language -> terms."""
     per = keywords.groupBy("topic", "lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
     per = per.groupBy("topic").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "terms")))).alias("m"))
-    return per.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("topic", "m"))))).alias("json"))
+    return per.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("topic", "m")))).alias("json"))

@@ -39,7 +39,7 @@ def read_numbered_json(spark: SparkSession, path: str, schema: str = RAW) -> Dat
 
     Each file is one record until its lines are numbered, as a line number needs the lines before it.
     """
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     source = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl(\.gz)?$", ""), r"_climate(_pass\d+)?$", "")
     lines = t.select(source.alias("source"), F.posexplode(F.split("value", "\n")).alias("p", "line"))
     rec = F.from_json("line", schema, {"mode": "PERMISSIVE"})
@@ -49,7 +49,7 @@ def read_numbered_json(spark: SparkSession, path: str, schema: str = RAW) -> Dat
 
 def read_keyword_json(spark: SparkSession, path: str) -> DataFrame:
     """(topic, lang, pos, term) of a nested dictionary topic -> language -> terms."""
-    t = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
+    t = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
     a = t.select(F.explode("m").alias("topic", "by")).select("topic", F.explode("by").alias("lang", "terms"))
     return a.select("topic", "lang", F.posexplode("terms").alias("pos", "term"))
 
