@@ -86,7 +86,7 @@ Le nuove regole riguardano anche i cookie dell'app del meteo. | Che cosa prepara
 新的隐私规定也适用于天气应用设置的小型文本文件。 | 的计划 | 的看法 | 来自
 """
 
-#: How much one occurrence in the few labelled furniture lines weighs against one in clean text.
+#: How much one occurrence in the few labelled furniture lines weighs against one in clean text, at most.
 BALANCE = 40
 WORD_LOW, WORD_HIGH, WORD_NEW = -4.0, 1.0, 0.35
 LINE_LOW, LINE_HIGH = -5.0, 40.0
@@ -126,11 +126,13 @@ def weights(samples: list[str]) -> Weights:
     bad, good = Counter(), Counter()
     for line in FURNITURE.replace("|", "\n").split("\n"):
         bad.update(tokens(line))
-    for line in BODY.replace("|", "\n").split("\n"):
-        good.update(tokens(line) * BALANCE)
     for s in samples:
         good.update(tokens(s))
-    return Weights({w: min(WORD_HIGH, max(WORD_LOW, WORD_NEW + math.log((good[w] + 1) / (BALANCE * bad[w] + 1)))) for w in bad.keys() | good.keys()})
+    # with little clean text, common words of the labelled lines must not look like furniture
+    balance = int(min(BALANCE, max(2, 2.5 * good.total() / bad.total())))
+    for line in BODY.replace("|", "\n").split("\n"):
+        good.update(tokens(line) * balance)
+    return Weights({w: min(WORD_HIGH, max(WORD_LOW, WORD_NEW + math.log((good[w] + 1) / (balance * bad[w] + 1)))) for w in bad.keys() | good.keys()})
 
 
 def ended(line: str) -> bool:
