@@ -143,6 +143,8 @@ def line_score(line: str, weight: Weights) -> float:
     """Words positive, tags negative; ``line`` is stripped and canonical."""
     if _USER.match(line):
         return LINE_LOW
+    if line.count(" > ") > 1 or line.count(" » ") > 1 or line.count(" › ") > 1:
+        return LINE_LOW  # the way to the page
     words = tokens(line)
     s = min(LINE_HIGH, sum(map(weight.__getitem__, words)))
     end = ended(line)
