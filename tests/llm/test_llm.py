@@ -75,6 +75,24 @@ def test_longer_copy_across_partitions(spark):
     assert [r.id for r in truncation.longer_copies(articles(spark, rows)).collect()] == ["short"]
 
 
+def test_longer_copy_on_every_border(spark):
+    """A chain of prefixes with fewer texts than partitions: each neighbouring pair stands on a border, also over empty partitions."""
+    a = "The harbour report was read aloud to the council in the evening session"
+    texts = [a + "".join(f"; part {k} of it" for k in range(i)) for i in range(8)]
+    rows = [(f"t{i}", None, t, "s", "eng", "feed") for i, t in enumerate(texts)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        got = {r.id for r in truncation.longer_copies(articles(spark, rows + rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == {f"t{i}" for i in range(len(texts) - 1)}
+    # a text that most rows hold becomes a range bound, and stands last in its partition
+    hot = [(f"h{i}", None, texts[0], "s", "eng", "rss" if i == 0 else "feed") for i in range(300)]
+    more = [(f"l{i}", None, texts[0] + f"; day {i:03d}", "s", "eng", "feed") for i in range(40)]
+    assert {r.id for r in truncation.longer_copies(articles(spark, hot + more)).collect()} == {f"h{i}" for i in range(1, 300)}
+
+
 def test_boilerplate(spark, clocks, samples):
     body = "The water board described the damage to the wall, and the river authority asked for help with new wells."
     page = f"Home | World | Opinion | Video\nA headline of our own story here\nBy the climate desk | 01.01.2021\n{body}\n{body}\nEnjoying this article? Become a member today for less than a coffee a week.\n{body} {body}\nMost read\n© 2021 Paper. All rights reserved."

@@ -121,13 +121,13 @@ def _observed(articles: DataFrame) -> DataFrame:
 def longer_copies(articles: DataFrame, summaries: tuple[str, ...] = ("rss",)) -> DataFrame:
     """(id): contents that are strict prefixes of a longer copy which goes on with the story.
 
-    Neighbours of a range-partitioned sort are compared; the first row of each partition is compared with the last row
-    before it in a second, tiny step (one row per partition).
+    Distinct texts are range-sorted and neighbours compared; the last text of each partition is compared with the first text
+    of the next partition that has any in a second, tiny step (one row per partition). Ids are joined back by the text's MD5.
     """
     src = articles.where("id is not null and content is not null").select("id", F.col("collection_method").alias("method"), F.expr("rtrim(content)").alias("text"))
     src = src.where(F.length("text") >= LEAST_PREFIX)
     parts = max(12, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = src.repartitionByRange(parts, "text").sortWithinPartitions("text")
+    ordered = src.select("text").distinct().repartitionByRange(parts, "text").sortWithinPartitions("text").select(F.md5("text").alias("h"), "text")
 
     def goes_on(a: str, b: str) -> bool:
         """``b`` continues ``a`` with prose: a sentence of its own, or the rest of a broken one."""
@@ -136,32 +136,42 @@ def longer_copies(articles: DataFrame, summaries: tuple[str, ...] = ("rss",)) ->
             return True
         return sum(len(x) for x in rest.split("\n") if _INNER.search(x) and len(x) > 160) > 0
 
-    def neighbours(batches):
-        ids, prev, first, buf = [], None, None, []
-
-        def close(a, b):
-            return a is not None and a[2] != b[2] and b[2].startswith(a[2]) and a[1] not in summaries and goes_on(a[2], b[2])
+    def close(a: str, b: str) -> bool:
+        return a != b and b.startswith(a) and goes_on(a, b)
 
-        group: list = []  # rows with one text
+    def neighbours(batches):
+        prev, first = None, None
         for b in batches:
-            for row in zip(b["id"].to_pylist(), b["method"].to_pylist(), b["text"].to_pylist()):
-                if first is None:
-                    first = row
-                if prev is not None and row[2] != prev[2]:
-                    ids += [g[0] for g in group if close(g, row)]
-                    group = []
-                group.append(row)
+            found = []
+            for row in zip(b["h"].to_pylist(), b["text"].to_pylist()):
+                if prev is None:
+                    first = row[1]
+                elif close(prev[1], row[1]):
+                    found.append(prev[0])
                 prev = row
-            if ids:
-                yield pa.RecordBatch.from_pydict({"kind": ["c"] * len(ids), "id": ids, "method": [None] * len(ids), "text": [None] * len(ids)}, schema=schema)
-                ids = []
-        if first is not None:
-            edge = [("first", *first)] + [("last", *g) for g in group]
-            yield pa.RecordBatch.from_pydict(dict(zip(("kind", "id", "method", "text"), map(list, zip(*edge)))), schema=schema)
-
-    schema = pa.schema([("kind", pa.string()), ("id", pa.string()), ("method", pa.string()), ("text", pa.string())])
-    got = ordered.mapInArrow(neighbours, "kind string, id string, method string, text string")
-    return got.where("kind = 'c'").select("id").dropDuplicates()
+            if found:
+                none = [None] * len(found)
+                yield pa.RecordBatch.from_pydict({"h": found, "first": none, "last": none}, schema=schema)
+        if prev is not None:
+            yield pa.RecordBatch.from_pydict({"h": [prev[0]], "first": [first], "last": [prev[1]]}, schema=schema)
+
+    def borders(batches):
+        """Partitions are ranges, so their first texts stand in their order; empty ones have no row."""
+        prev = None
+        for b in batches:
+            found = []
+            for h, first, last in zip(*(b[k].to_pylist() for k in ("h", "first", "last"))):
+                if prev is not None and close(prev[1], first):
+                    found.append(prev[0])
+                prev = (h, last)
+            yield pa.RecordBatch.from_pydict({"h": found}, schema=pa.schema([("h", pa.string())]))
+
+    schema = pa.schema([("h", pa.string()), ("first", pa.string()), ("last", pa.string())])
+    got = cut_lineage(ordered.mapInArrow(neighbours, "h string, first string, last string"))  # both steps must see the same ranges
+    edges = got.where("first is not null").repartition(1).sortWithinPartitions("first").mapInArrow(borders, "h string")
+    hits = got.where("first is null").select("h").union(edges).distinct()
+    ids = src.where(F.col("method").isNull() | ~F.col("method").isin(*summaries)).select("id", F.md5("text").alias("h"))
+    return ids.join(hits, "h").select("id").dropDuplicates()
 
 
 def cut_articles(articles: DataFrame, summaries: tuple[str, ...] = ("rss",)) -> DataFrame:
