@@ -45,3 +45,12 @@ def test_same_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(Q) - set(SQL) - {"hierarchical_prevalence"}))
 def test_runs(spark, name):
     assert Q[name](spark, str(DATA)).count() > 0
+
+
+def test_chat_messages_hold_the_whole_content(spark, con):
+    from pyspark.sql import functions as F
+
+    turn = F.get_json_object("messages", "$[1].content")
+    got = {r.id: r.turn for r in Q["chat_messages"](spark, str(DATA)).select("id", turn.alias("turn")).collect()}
+    whole = con.execute("SELECT DISTINCT id, content FROM articles WHERE id IN (SELECT id FROM classifications) AND length(content) > 40").fetchall()
+    assert whole and all((content.strip()[:10_000]) in got[i] for i, content in whole)

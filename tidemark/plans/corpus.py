@@ -232,7 +232,7 @@ def queries() -> dict:
         "composed_ids": lambda s, d: articles(s, d, "source_uri", "published_date", "collection_method").select("id", F.concat_ws("_", F.coalesce("collection_method", F.lit("None")), F.coalesce("source_uri", F.lit("None")), F.when(F.coalesce("published_date", F.lit("")) == "", "0000").otherwise(F.substring("published_date", 1, 4)), F.lpad(F.regexp_extract("id", r"(\d+)$", 1), 6, "0")).alias("new_id")),
         "truncate_text": lambda s, d: t(s, d, "documents").select("doc_id", X.truncated(F.col("text"), 500).alias("text")),
         "blank_records": lambda s, d: articles(s, d, "title", "content").where((F.coalesce(X.unicode_trim(F.col("title")), F.lit("")) == "") & (F.coalesce(X.unicode_trim(F.col("content")), F.lit("")) == "")).select("id"),
-        "chat_messages": lambda s, d: articles(s, d, "title", "content").join(labelled(s, d), "id").select("id", F.to_json(L.messages("Label the article.", L.user_turn(F.col("title"), F.substring("content", 1, 40), 10_000), L.assistant_turn(F.lit("short"), LABELS))).alias("messages")),
+        "chat_messages": lambda s, d: articles(s, d, "title", "content").join(labelled(s, d), "id").select("id", F.to_json(L.messages("Label the article.", L.user_turn(F.col("title"), F.col("content"), 10_000), L.assistant_turn(F.lit("short"), LABELS))).alias("messages")),
         "label_combo": lambda s, d: labelled(s, d).groupBy(L.combo(LABELS).alias("combo")).agg(F.count(F.lit(1)).alias("n")),
         "parse_cot_labels": lambda s, d: cot(s, d).select("id", *[L.parsed_label(F.col("response"), c).alias(c) for c in LABELS]),
         "loose_bool": lambda s, d: t(s, d, "documents").select("doc_id", L.loose_bool(F.element_at(F.array(*map(F.lit, [" True", "no", "YES ", "0", "t", ""])), (F.col("doc_id") % 6 + 1).cast("int"))).alias("value")),
