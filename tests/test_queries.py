@@ -54,3 +54,20 @@ def test_chat_messages_hold_the_whole_content(spark, con):
     got = {r.id: r.turn for r in Q["chat_messages"](spark, str(DATA)).select("id", turn.alias("turn")).collect()}
     whole = con.execute("SELECT DISTINCT id, content FROM articles WHERE id IN (SELECT id FROM classifications) AND length(content) > 40").fetchall()
     assert whole and all((content.strip()[:10_000]) in got[i] for i, content in whole)
+
+
+@pytest.mark.parametrize("name", ["posterior_summary", "posterior_percent", "posterior_contrast", "calendar_average", "hdi_interval"])
+def test_draws_are_whole_vectors(spark, con, name):
+    """The same statement over every position of the vectors."""
+    n = con.execute("SELECT max(len(embedding)) FROM embeddings").fetchone()[0]
+    a = Q[name](spark, str(DATA)).toPandas()
+    b = con.execute(SQL[name].replace("[0, 1, 2, 3]", f"range({n})")).df()
+    assert rows(a, sorted(a.columns)) == rows(b, sorted(b.columns))
+
+
+def test_diagnostics_cover_every_position(spark, con):
+    n = con.execute("SELECT max(len(embedding)) FROM embeddings").fetchone()[0]
+    got = Q["split_rhat"](spark, str(DATA)).toPandas()
+    assert set(got["param"]) == {f"e{i}" for i in range(n)}
+    worst = Q["worst_diagnostics"](spark, str(DATA)).toPandas().iloc[0]
+    assert worst["max_r_hat"] == pytest.approx(got["r_hat"].max()) and worst["min_ess_bulk"] == pytest.approx(got["ess_bulk"].min())

@@ -140,7 +140,7 @@ def plan(s, d) -> DataFrame:
 
 def draws(s, d) -> DataFrame:
     """Vector elements in the role of draws: element = parameter, label = group, id = chain and draw."""
-    e = table(s, d, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 4)).alias("pos", "value"))
+    e = table(s, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "value"))
     return e.select(F.concat(F.lit("e"), "pos").alias("param"), F.concat(F.lit("g"), "label").alias("grp"), F.col("pos").alias("level"), F.pmod("vec_id", F.lit(4)).cast("int").alias("chain"),
                     F.floor(F.col("vec_id") / 4).cast("int").alias("draw"), F.col("value").cast("double").alias("value"))
 
