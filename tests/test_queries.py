@@ -71,3 +71,14 @@ def test_diagnostics_cover_every_position(spark, con):
     assert set(got["param"]) == {f"e{i}" for i in range(n)}
     worst = Q["worst_diagnostics"](spark, str(DATA)).toPandas().iloc[0]
     assert worst["max_r_hat"] == pytest.approx(got["r_hat"].max()) and worst["min_ess_bulk"] == pytest.approx(got["ess_bulk"].min())
+
+
+def test_published_months_reads_every_form(spark, tmp_path):
+    values = ["2022-01-05T10:00:00Z", "Wed, 05 Jan 2022 10:00:00 +0000", "2022-01-01T00:30:00+02:00", "2022-01-05", "2022-01", "1641376800", "2021-10-31 01:45", "2022-02-30", "bad", "", None]
+    a = [(f"a{i}", "London", "page", v, None, "GB") for i, v in enumerate(values)]
+    spark.createDataFrame(a + a[:3], "id string, source_uri string, collection_method string, published_date string, extracted_at string, country string").write.parquet(f"{tmp_path}/articles.parquet")
+    spark.createDataFrame([(f"a{i}", True, i == 0, False, False) for i in range(len(values))], "id string, " + ", ".join(f"{c} boolean" for c in corpus.LABELS)).write.parquet(f"{tmp_path}/classifications.parquet")
+    spark.createDataFrame([("London", "Europe/London", "en-GB")], "source_uri string, zone_name string, locale string").write.parquet(f"{tmp_path}/source_clocks.parquet")
+    spark.createDataFrame([("page", "UTC", True)], "collection_method string, zone_name string, is_page boolean").write.parquet(f"{tmp_path}/collector_clocks.parquet")
+    got = {(r.month, r.country, r.n_cc, r.n_cc_health) for r in Q["published_months"](spark, str(tmp_path)).collect()}
+    assert got == {("2022-01", "GB", 5, 1), ("2021-12", "GB", 1, 0), ("2021-10", "GB", 1, 0)}

@@ -12,7 +12,6 @@ from tidemark.session import table
 
 LABELS = ["climate_change", "health", "health_effects_of_climate_change", "health_effects_of_extreme_weather"]
 FALLBACK = {"por": "spa", "rus": "eng"}
-NORMAL_DATE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
 
 
 # ---- shared inputs
@@ -163,6 +162,22 @@ def cot(s, d) -> DataFrame:
     return x.select("id", F.when(F.substring(F.md5("id"), 1, 1) == "a", F.lit("<think>none</think> unsure")).otherwise(text).alias("response"))
 
 
+def month_of_value(s, d) -> DataFrame:
+    """(id, value, month) of every readable published_date: the UTC month of its instant; where the clock leaves that open, the month as written."""
+    a = articles(s, d, "source_uri", "collection_method", "published_date", "extracted_at")
+    w = timestamps.written_instants(a, table(s, d, "source_clocks"), table(s, d, "collector_clocks")).where("field_name = 'published_date'")
+    month = lambda x, rank: x.select("id", "value", F.substring("utc_text", 1, 7).alias("month"), F.lit(rank).alias("rank"))
+    at, wall = (month(timestamps.utc_text(x, ["id", "value"]), n) for n, x in enumerate((w, w.withColumn("zone", F.lit("UTC")))))
+    day = month(w.where(F.col("value").rlike(r"^\d{4}-\d{2}(-\d{2})?$")).withColumn("utc_text", F.expr("date_format(try_cast(value AS date), 'yyyy-MM')")).where("utc_text is not null"), 2)
+    return at.union(wall).union(day).groupBy("id", "value").agg(F.min_by("month", "rank").alias("month"))
+
+
+def published_months(s, d) -> DataFrame:
+    a = articles(s, d, "country", "published_date").join(labelled(s, d), "id").where(F.coalesce("climate_change", F.lit(False)) & F.col("country").isNotNull())
+    x = a.withColumnRenamed("published_date", "value").join(month_of_value(s, d), ["id", "value"])
+    return x.groupBy("month", "country").agg(F.count(F.lit(1)).alias("n_cc"), rollup.count_true(F.col("health")).alias("n_cc_health"))
+
+
 def dim(s, d) -> DataFrame:
     return table(s, d, "source_languages")
 
@@ -252,7 +267,7 @@ def queries() -> dict:
         "worst_diagnostics": lambda s, d: posterior.worst(posterior.diagnostics(draws(s, d), ["param"])),
         "hierarchical_prevalence": lambda s, d: posterior.summary(sampler.hierarchical_prevalence(rollup.sufficient_stats(cells(s, d), K4, "k_hecc_cc", "n_cc").groupBy("country", F.col("grp").alias("group")).agg(F.sum("k").alias("k"), F.sum("n").alias("n")), draws=200, tune=300), ["param", "level"], digits=3),
         "classify_stub": stub_classified,
-        "published_months": lambda s, d: articles(s, d, "country", "published_date").join(labelled(s, d), "id").where(F.col("published_date").rlike(NORMAL_DATE) & F.coalesce("climate_change", F.lit(False))).groupBy(F.substring("published_date", 1, 7).alias("month"), "country").agg(F.count(F.lit(1)).alias("n_cc"), rollup.count_true(F.col("health")).alias("n_cc_health")).where("country is not null"),
+        "published_months": published_months,
     }
     return q
 
