@@ -82,3 +82,15 @@ def test_published_months_reads_every_form(spark, tmp_path):
     spark.createDataFrame([("page", "UTC", True)], "collection_method string, zone_name string, is_page boolean").write.parquet(f"{tmp_path}/collector_clocks.parquet")
     got = {(r.month, r.country, r.n_cc, r.n_cc_health) for r in Q["published_months"](spark, str(tmp_path)).collect()}
     assert got == {("2022-01", "GB", 5, 1), ("2021-12", "GB", 1, 0), ("2021-10", "GB", 1, 0)}
+
+
+def test_hierarchical_prevalence_pools_sources(spark, monkeypatch):
+    """One row per source reaches the sampler, with its own number of draws and tuning steps."""
+    from tidemark.operators import rollup, sampler
+
+    seen, real = [], sampler.hierarchical_prevalence
+    monkeypatch.setattr(sampler, "hierarchical_prevalence", lambda stats, **kw: seen.append((stats, kw)) or real(stats, **kw))
+    got = corpus.queries()["hierarchical_prevalence"](spark, str(DATA)).toPandas()
+    (stats, kw), = seen
+    assert kw.get("draws", 500) >= 500 and kw.get("tune", 500) >= 500 and set(got["n"]) == {4 * 500}
+    assert stats.count() == rollup.sufficient_stats(corpus.cells(spark, str(DATA)), ["source", "country", "grp"], "k_hecc_cc", "n_cc").count()

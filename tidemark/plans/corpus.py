@@ -265,7 +265,7 @@ def queries() -> dict:
         "result_index": lambda s, d: draws(s, d).select("grp").distinct().crossJoin(dim(s, d).where("country is not null").select(F.substring("country", 1, 1).alias("time_label")).distinct()),
         "split_rhat": lambda s, d: posterior.diagnostics(draws(s, d), ["param"]),
         "worst_diagnostics": lambda s, d: posterior.worst(posterior.diagnostics(draws(s, d), ["param"])),
-        "hierarchical_prevalence": lambda s, d: posterior.summary(sampler.hierarchical_prevalence(rollup.sufficient_stats(cells(s, d), K4, "k_hecc_cc", "n_cc").groupBy("country", F.col("grp").alias("group")).agg(F.sum("k").alias("k"), F.sum("n").alias("n")), draws=200, tune=300), ["param", "level"], digits=3),
+        "hierarchical_prevalence": lambda s, d: posterior.summary(sampler.hierarchical_prevalence(rollup.sufficient_stats(cells(s, d), K4, "k_hecc_cc", "n_cc").withColumnRenamed("grp", "group")), ["param", "level"], digits=3),
         "classify_stub": stub_classified,
         "published_months": published_months,
     }
