@@ -94,3 +94,9 @@ def test_hierarchical_prevalence_pools_sources(spark, monkeypatch):
     (stats, kw), = seen
     assert kw.get("draws", 500) >= 500 and kw.get("tune", 500) >= 500 and set(got["n"]) == {4 * 500}
     assert stats.count() == rollup.sufficient_stats(corpus.cells(spark, str(DATA)), ["source", "country", "grp"], "k_hecc_cc", "n_cc").count()
+
+
+def test_any_label_selection_takes_five_years(spark, con):
+    a = Q["any_label_selection"](spark, str(DATA)).toPandas()
+    b = con.execute(SQL["any_label_selection"].replace("IN ('2022', '2023')", "IN ('2021', '2022', '2023', '2024', '2025')")).df()
+    assert rows(a, sorted(a.columns)) == rows(b, sorted(b.columns))

@@ -210,7 +210,7 @@ def queries() -> dict:
         "monthly_shares": lambda s, d: rollup.shares(q["global_monthly_counts"](s, d), "n_cc", {"pct_health": "n_cc_health", "pct_hecc": "n_cc_hecc"}).select("month", "pct_health", "pct_hecc", "difference"),
         "period_labels": lambda s, d: t(s, d, "orders").select(*[rollup.period_label(F.col("o_orderdate"), g).alias(g) for g in ("yearly", "quarterly", "monthly")]).groupBy("yearly", "quarterly", "monthly").agg(F.count(F.lit(1)).alias("n")),
         "min_volume_filter": lambda s, d: rollup.min_volume(t(s, d, "articles").where("source_uri is not null").select("id", "source_uri"), "source_uri", 30).groupBy("source_uri").agg(F.count(F.lit(1)).alias("n")),
-        "any_label_selection": lambda s, d: articles(s, d, "published_date", "language").join(labelled(s, d), "id").where(rollup.any_true(LABELS) & F.substring("published_date", 1, 4).isin("2022", "2023")).select("id", "language", *LABELS),
+        "any_label_selection": lambda s, d: articles(s, d, "published_date", "language").join(labelled(s, d), "id").where(rollup.any_true(LABELS) & F.substring("published_date", 1, 4).isin("2021", "2022", "2023", "2024", "2025")).select("id", "language", *LABELS),
         "modal_country_per_source": lambda s, d: rollup.modal_value(t(s, d, "articles").select("source_uri", "country"), "source_uri", "country"),
         "dense_level_index": lambda s, d: rollup.dense_index(dim(s, d), "country"),
         "raw_prevalence": lambda s, d: rollup.raw_prevalence(rollup.sufficient_stats(cells(s, d), K4, "k_hecc_cc", "n_cc"), ["grp"]),
