@@ -68,29 +68,56 @@ def test_truncation(spark):
     assert got == {"cut", "mark", "count", "half", "tag"}
 
 
-def test_longer_copy_across_partitions(spark):
-    a = "The harbour report was read aloud to the council in the evening session."
-    rest = "\n" + "The council listened. " * 12
-    rows = [("short", None, a, "s", "eng", "feed"), ("long", None, a + rest, "s", "eng", "feed")] + [(f"x{i}", None, chr(97 + i) * 50 + ".", "s", "eng", "feed") for i in range(26)]
-    assert [r.id for r in truncation.longer_copies(articles(spark, rows)).collect()] == ["short"]
-
-
-def test_longer_copy_on_every_border(spark):
-    """A chain of prefixes with fewer texts than partitions: each neighbouring pair stands on a border, also over empty partitions."""
-    a = "The harbour report was read aloud to the council in the evening session"
-    texts = [a + "".join(f"; part {k} of it" for k in range(i)) for i in range(8)]
-    rows = [(f"t{i}", None, t, "s", "eng", "feed") for i, t in enumerate(texts)]
+def test_longer_copies(spark):
+    """Pairs of a text that breaks off and a longer copy of the sentence, at few and many partitions, exact copies included."""
+    rows = []
+    for i in range(300):
+        w = "".join(chr(97 + int(d)) for d in f"{i:03d}")
+        a = f"the {w} harbour report was read aloud to the {w} council, which waited until the"
+        rows += [(f"s{i}", None, f"A {w} lead. {a}", "s", "eng", "rss"), (f"l{i}", None, f"Another start of {w}. {a} water fell again. More.", "t", "eng", "feed")]
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        spark.conf.set("spark.sql.shuffle.partitions", "40")
-        got = {r.id for r in truncation.longer_copies(articles(spark, rows + rows)).collect()}
+        for n in ("3", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.id for r in truncation.longer_copies(articles(spark, rows + rows).repartition(int(n))).collect()}
+            assert got == {f"s{i}" for i in range(300)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
-    assert got == {f"t{i}" for i in range(len(texts) - 1)}
-    # a text that most rows hold becomes a range bound, and stands last in its partition
-    hot = [(f"h{i}", None, texts[0], "s", "eng", "rss" if i == 0 else "feed") for i in range(300)]
-    more = [(f"l{i}", None, texts[0] + f"; day {i:03d}", "s", "eng", "feed") for i in range(40)]
-    assert {r.id for r in truncation.longer_copies(articles(spark, hot + more)).collect()} == {f"h{i}" for i in range(1, 300)}
+    assert {(r.evidence, r.n) for r in truncation.p1_evidence(articles(spark, rows)).collect()} == {("longer copy", 300)}
+
+
+def test_longer_copy_of_a_hot_text(spark):
+    """A chain of prefixes; a text that most rows hold; a complete sentence with a longer copy is a summary, not a cut."""
+    a = "The harbour report was read aloud to the council in the evening session"
+    texts = [a + "".join(f"; part {k} of it" for k in range(i)) for i in range(8)]
+    rows = [(f"t{i}", None, t, "s", "eng", "feed") for i, t in enumerate(texts)] + [(f"h{i}", None, texts[0], "s", "eng", "rss") for i in range(300)]
+    rows += [("summary", None, "The board met.", "s", "eng", "feed"), ("story", None, "The board met. It spoke of the wells.", "s", "eng", "feed"), ("tiny", None, "The boa", "s", "eng", "feed")]
+    got = {r.id for r in truncation.longer_copies(articles(spark, rows)).collect()}
+    assert got == {f"t{i}" for i in range(7)} | {f"h{i}" for i in range(300)}
+
+
+def test_prefixes_like_brute_force():
+    rng = np.random.default_rng(5)
+    values = {"ab"[rng.integers(2)] * 5 + "".join(rng.choice(list("ab"), rng.integers(0, 60))) for _ in range(400)}
+    rows = {}
+    for v in values:
+        for k, r in truncation.prefixes(v):
+            rows.setdefault(k, set()).add(r)
+    for v in values:
+        if (k := truncation.looked_up(v)) is None:
+            assert len(v) < truncation.FIRST
+        else:
+            assert any(r != k[1] and r.startswith(k[1]) for r in rows[k[0]]) == any(x != v and x.startswith(v) for x in values)
+
+
+def test_lines_known_as_whole(spark):
+    """A line is complete only if it stands inside two ids, copies of a row counting once, and not seldom for each end."""
+    end = "A sentence of its own.\nA line without an end"
+    rows = [("a", None, end, "s", "eng", "feed"), ("b", None, "A line without an end\nText.", "s", "eng", "feed")]
+    assert {r.id for r in truncation.p1_found(articles(spark, rows * 3)).collect()} == {"a"}
+    assert truncation.p1_found(articles(spark, rows + [("c", "A line without an end", "Text.", "s", "eng", "feed")])).count() == 0
+    sources = {r.source_uri: (r.n_ids, r.n_cut) for r in truncation.p1_sources(articles(spark, rows * 2 + [("z", None, "Cut in the mid", None, "eng", "feed")])).collect()}
+    assert sources == {"s": (2, 1), None: (1, 1)}
 
 
 def test_boilerplate(spark, clocks, samples):

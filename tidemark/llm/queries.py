@@ -10,6 +10,7 @@ def queries() -> dict:
     t = table
     return {
         "p1_found": lambda s, d: truncation.p1_found(t(s, d, "articles")),
+        "p1_evidence": lambda s, d: truncation.p1_evidence(t(s, d, "articles")),
         "p1_sources": lambda s, d: truncation.p1_sources(t(s, d, "articles")),
         "p3_found": lambda s, d: boilerplate.p3_found(t(s, d, "articles"), t(s, d, "collector_clocks"), t(s, d, "lang_samples")),
         "p3_body": lambda s, d: boilerplate.main_body(t(s, d, "articles"), t(s, d, "collector_clocks"), t(s, d, "lang_samples")),

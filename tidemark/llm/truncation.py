@@ -1,20 +1,23 @@
 """Text cut off by field limits or in transfer (problem 1).
 
-Cut values are found by self-joins on prefixes:
-
-* whole contents are range-sorted by text; a value that is a strict prefix of another stands right before one of its
-  longer copies, so neighbours are compared once, also across partition borders. A copy that goes on with the story
-  after a value that isn't a summary is evidence of a cut;
-* the last line of a content is joined, by its form, with the lines that end inside a content or are a title, which are
-  never cut. An unended last line that is no such complete line, and isn't bracketed, is cut.
-
-Marks left by the cutter (an ellipsis, a count of missing characters, half a character, half a tag) decide alone.
-Where contents of one source and method break off again and again at the same length, that length is taken as a field limit,
-and values that fill it exactly are cut even if they happen to end with a sentence.
-
-Forms leave out digits, bullets and proper names, so that a headline or list item is known by its pattern. Sorting moves
-each text once; everything else is hashes and counts. Defined results: null and blank contents have no rows; copies
-of a row count once; a null source is reported as null.
+The method is a self-join on prefixes. A value that was cut is a strict prefix of a longer copy elsewhere: of the whole
+text, or, where no other text begins alike, of the sentence it breaks off in. Both are one join, since the last
+sentence of a cut text is the strict prefix of that sentence in any longer copy. Each sentence is brought to its form
+(no digits, proper names or case), and prefixes of fixed lengths ``FIRST * 2**k`` are hashed. A sentence gives one row
+(hash of its first g characters, the next g) for each such length g; what a content ends with is looked up by the
+greatest g that fits: sorted by the rest, a strict prefix stands right before a row that goes on from it. Every text is
+thereby moved about once, in small rows that combine before the shuffle, and no row holds a whole text.
+
+A content whose last sentence ended is complete, even if other copies go on with more sentences (a summary).
+An unended last line that is known as complete (it stands inside contents or as a title) isn't cut either.
+
+Where no longer copy exists the break itself decides: a mark left by the cutter (an ellipsis, a count of missing
+characters, half a character, half a tag), or an unended last line whose form is nowhere complete. Where contents of one
+source and method break off again and again at the same length, that length is taken as a field limit, and values
+that fill it exactly are cut even if they happen to end with a sentence. ``p1_evidence`` reports what decided.
+
+Defined results: null and blank contents have no rows; a null id has none; copies of a row count once; a null source is
+reported as null; an id that stands under two sources counts for both.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,18 +38,21 @@ from tidemark.session import cut_lineage
 LIMIT_ROWS, LIMIT_SHARE = 4, 0.6
 #: ... and so many times the average of the lengths at most AROUND away.
 SPIKE, AROUND = 8, 10
-#: So often a last line's form must stand complete elsewhere.
-COMPLETE_ROWS = 2
-#: Shorter prefixes prove nothing.
-LEAST_PREFIX = 40
+#: A line is complete if its form stands inside contents of two ids, and so often for each content that ends with it.
+WHOLE_SHARE = 0.05
+#: Least length of a hashed prefix; shorter values are prefixes of too much to prove anything.
+FIRST = 12
 
 _MARK = re.compile(r"(?:\[\s?\+?\s?\d+\s?(?:chars?|characters|more)?\s?\]|\[\s?(?:…|\.{3})\s?\]|\(\s?(?:…|\.{3})\s?\)|…|\.{3})\s*$")
 _BROKEN = re.compile("(?:�+|<[A-Za-z/!][^<>]*|&(?:#\\d*|#x[0-9a-fA-F]*|[A-Za-z]{1,8})?)\\s*$")
 _END = re.compile("[.!?。！？…)\\]）】»”\"'’“]\\s*$")
-_BRACKETED = re.compile(r"^\s*[(（\[].*[)）\]]\s*$")
 _LEAD = re.compile(r"^\s*(?:[-•*–]|\d{1,2}[.)])\s+")
-_NAME = re.compile(r"(?<=[\s(«“„\"'’-])[^\W\d_a-zа-яß-öø-ÿ一-鿿][\w'’-]*")
+_NAME = re.compile(r"(?<=[ \t(«“„\"'’-])[^\W\d_a-zа-яß-öø-ÿ一-鿿][\w'’-]*")
 _INNER = re.compile(r"[.!?]['\"”»’]?\s+\S|[。！？][”』」]?.")
+_SENTENCE = re.compile("(?<=[.!?])[\"'”»’)\\]]*\\s+|(?<=[。！？])[”』」）]*|\\r?\\n")
+_CRUMBS = re.compile(r"\s[>»›/|·]\s\S.*\s[>»›/|·]\s\S")
+_DIGITS = str.maketrans("", "", "0123456789")
+_BLANKS = re.compile(r"[ \t\r]{2,}")
 
 
 def line_form(line: str) -> str:
@@ -59,7 +66,7 @@ def line_form(line: str) -> str:
 def tail_form(form: str) -> str:
     """How a line ends: its last three words, or its last six characters in a script without blanks."""
     words = form.split(" ")
-    return "\u2026" + (" ".join(words[-3:]) if len(words) > 1 else form[-6:])
+    return "…" + (" ".join(words[-3:]) if len(words) > 1 else form[-6:])
 
 
 def look(content: str) -> tuple[str, str, str]:
@@ -87,127 +94,184 @@ def look(content: str) -> tuple[str, str, str]:
 
 
 def complete_forms(content: str, title: str | None) -> set[str]:
-    """Forms of the unended lines that are surely whole: all but the last line, and the title."""
+    """Forms of the unended lines that are surely whole: all but the last line, and the title.
+
+    The way to the page (a row of links) is often cut by the page itself, so how it ends says nothing.
+    """
     lines = content.rstrip().split("\n")[:-1]
     if title:
         lines.append(title)
-    forms = {f for x in lines if x.strip() and not _END.search(x.rstrip()[-3:]) and (f := line_form(x))}
-    return forms | {tail_form(f) for f in forms}
+    out = set()
+    for x in lines:
+        if x.strip() and not _END.search(x.rstrip()[-3:]) and (f := line_form(x)):
+            out.add(f)
+            if not _CRUMBS.search(x):
+                out.add(tail_form(f))
+    return out
+
+
+def sentences(content: str) -> list[str]:
+    """Forms of the sentences and lines of a content in order, without empty ones."""
+    s = _SENTENCE.sub("\n", canonical(content))
+    s = _BLANKS.sub(" ", _NAME.sub("#", s).translate(_DIGITS)).lower()
+    return [x for p in s.split("\n") if (x := p.strip())]
+
+
+def last_sentence(content: str, sign: str) -> str:
+    """Form of what the content breaks off in, without the cutter's mark."""
+    text = content.rstrip()
+    if sign in ("mark", "broken"):
+        text = (_MARK if sign == "mark" else _BROKEN).sub("", text[-4000:] if "\n" in text[-4000:-40] else text)
+    line = text.rstrip()
+    got = sentences(line[line.rfind("\n") + 1 :])
+    return got[-1] if got else ""
+
+
+def _hash(s: str) -> int:
+    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def looked_up(form: str) -> tuple[int, str] | None:
+    """(hash of the greatest fixed-length prefix, the rest) of a value; None where it is too short."""
+    g = FIRST
+    if len(form) < g:
+        return None
+    while 2 * g <= len(form):
+        g *= 2
+    return _hash(f"{g}/{form[:g]}"), form[g:]
+
+
+def prefixes(form: str):
+    """(hash, what follows) of each fixed-length prefix of a sentence."""
+    g = FIRST
+    while g <= len(form):
+        yield _hash(f"{g}/{form[:g]}"), form[g : 2 * g]
+        g *= 2
+
+
+def _contents(articles: DataFrame) -> DataFrame:
+    return articles.where("id is not null and content is not null").select("id", "title", "content", "source_uri", "collection_method")
 
 
 def _observed(articles: DataFrame) -> DataFrame:
-    """One row per content with its signs, and one per batch and complete form (kind ``f``)."""
-    src = articles.where("id is not null and content is not null").select("id", "title", "content", "source_uri", "collection_method")
+    """One row per content with its signs (kind ``c``), and per batch one per complete form (kind ``f``, with n of its contents and two of its ids)."""
+    names = ("kind", "id", "source_uri", "method", "sign", "form", "tail", "value", "chars", "bytes", "n", "id_low", "id_high")
 
     def run(b: pa.RecordBatch):
-        cols = {k: [] for k in ("kind", "id", "source_uri", "method", "sign", "form", "tail", "chars", "bytes", "n")}
-        forms: dict[str, int] = {}
+        cols = {k: [] for k in names}
+        forms: dict[str, list] = {}
         for i, t, c, s, m in zip(*(b[k].to_pylist() for k in ("id", "title", "content", "source_uri", "collection_method"))):
             if not c.strip():
                 continue
             sign, form, tail = look(c)
-            for v, k in zip(("c", i, s, m, sign, form, tail, len(c), len(c.encode("utf-8", "replace")), 1), cols):
+            value = _hash(last) if sign and (last := last_sentence(c, sign)) else None
+            for v, k in zip(("c", i, s, m, sign, _hash(form) if form else None, _hash(tail) if tail else None, value, len(c), len(c.encode("utf-8", "replace")), 1, None, None), names):
                 cols[k].append(v)
             for f in complete_forms(c, t):
-                forms[f] = forms.get(f, 0) + 1
-        for f, n in forms.items():
-            for v, k in zip(("f", None, None, None, "", f, "", 0, 0, n), cols):
+                x = forms.setdefault(f, [0, i, i])
+                x[0] += 1
+                x[1], x[2] = min(x[1], i), max(x[2], i)
+        for f, (n, lo, hi) in forms.items():
+            for v, k in zip(("f", None, None, None, "", _hash(f), None, None, 0, 0, n, lo, hi), names):
                 cols[k].append(v)
         return cols
 
-    return arrow_map(src, run, "kind string, id string, source_uri string, method string, sign string, form string, tail string, chars int, bytes int, n long", rows=2000)
+    schema = "kind string, id string, source_uri string, method string, sign string, form long, tail long, value long, chars int, bytes int, n long, id_low string, id_high string"
+    return arrow_map(_contents(articles), run, schema, rows=2000)
 
 
-def longer_copies(articles: DataFrame, summaries: tuple[str, ...] = ("rss",)) -> DataFrame:
-    """(id): contents that are strict prefixes of a longer copy which goes on with the story.
+def longer_values(articles: DataFrame) -> DataFrame:
+    """(value): hashes of the forms that contents break off with and that are strict prefixes of a sentence elsewhere.
 
-    Distinct texts are range-sorted and neighbours compared; the last text of each partition is compared with the first text
-    of the next partition that has any in a second, tiny step (one row per partition). Ids are joined back by the text's MD5.
+    Rows of equal prefix and rest combine in the batch and before the shuffle, so a prefix that a third of the corpus
+    shares brings only its distinct continuations (at most one length further) to one task, where they are streamed in order.
     """
-    src = articles.where("id is not null and content is not null").select("id", F.col("collection_method").alias("method"), F.expr("rtrim(content)").alias("text"))
-    src = src.where(F.length("text") >= LEAST_PREFIX)
-    parts = max(12, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = src.select("text").distinct().repartitionByRange(parts, "text").sortWithinPartitions("text").select(F.md5("text").alias("h"), "text")
-
-    def goes_on(a: str, b: str) -> bool:
-        """``b`` continues ``a`` with prose: a sentence of its own, or the rest of a broken one."""
-        rest = b[len(a) :]
-        if not rest.startswith(("\n", "\r", " ")):
-            return True
-        return sum(len(x) for x in rest.split("\n") if _INNER.search(x) and len(x) > 160) > 0
-
-    def close(a: str, b: str) -> bool:
-        return a != b and b.startswith(a) and goes_on(a, b)
-
-    def neighbours(batches):
-        prev, first = None, None
-        for b in batches:
-            found = []
-            for row in zip(b["h"].to_pylist(), b["text"].to_pylist()):
-                if prev is None:
-                    first = row[1]
-                elif close(prev[1], row[1]):
-                    found.append(prev[0])
-                prev = row
-            if found:
-                none = [None] * len(found)
-                yield pa.RecordBatch.from_pydict({"h": found, "first": none, "last": none}, schema=schema)
-        if prev is not None:
-            yield pa.RecordBatch.from_pydict({"h": [prev[0]], "first": [first], "last": [prev[1]]}, schema=schema)
-
-    def borders(batches):
-        """Partitions are ranges, so their first texts stand in their order; empty ones have no row."""
-        prev = None
-        for b in batches:
-            found = []
-            for h, first, last in zip(*(b[k].to_pylist() for k in ("h", "first", "last"))):
-                if prev is not None and close(prev[1], first):
-                    found.append(prev[0])
-                prev = (h, last)
-            yield pa.RecordBatch.from_pydict({"h": found}, schema=pa.schema([("h", pa.string())]))
-
-    schema = pa.schema([("h", pa.string()), ("first", pa.string()), ("last", pa.string())])
-    got = cut_lineage(ordered.mapInArrow(neighbours, "h string, first string, last string"))  # both steps must see the same ranges
-    edges = got.where("first is not null").repartition(1).sortWithinPartitions("first").mapInArrow(borders, "h string")
-    hits = got.where("first is null").select("h").union(edges).distinct()
-    ids = src.where(F.col("method").isNull() | ~F.col("method").isin(*summaries)).select("id", F.md5("text").alias("h"))
-    return ids.join(hits, "h").select("id").dropDuplicates()
-
-
-def cut_articles(articles: DataFrame, summaries: tuple[str, ...] = ("rss",)) -> DataFrame:
-    """(id, source_uri, evidence) of every cut content."""
+
+    def run(b: pa.RecordBatch):
+        known: set[str] = set()
+        rows: dict[tuple[int, str], int | None] = {}
+        for c in b["content"].to_pylist():
+            if not c.strip():
+                continue
+            for s in sentences(c):
+                if s not in known:
+                    known.add(s)
+                    for k in prefixes(s):
+                        rows.setdefault(k, None)
+            sign, _, _ = look(c)
+            if sign and (last := last_sentence(c, sign)) and (k := looked_up(last)):
+                rows[k] = _hash(last)
+        return {"prefix": [k for k, _ in rows], "rest": [r for _, r in rows], "value": list(rows.values())}
+
+    rows = arrow_map(_contents(articles), run, "prefix long, rest string, value long", rows=4000)
+    each = rows.groupBy("prefix", "rest").agg(F.max("value").alias("value"))
+    after = F.lead("rest").over(Window.partitionBy("prefix").orderBy("rest"))
+    return each.withColumn("next", after).where("value is not null and startswith(next, rest)").select("value").distinct()
+
+
+def longer_copies(articles: DataFrame) -> DataFrame:
+    """(id): contents that break off in a sentence of which a longer copy stands elsewhere."""
+
+    def run(b: pa.RecordBatch):
+        ids, values = [], []
+        for i, c in zip(b["id"].to_pylist(), b["content"].to_pylist()):
+            if c.strip() and (sign := look(c)[0]) and (last := last_sentence(c, sign)):
+                ids.append(i)
+                values.append(_hash(last))
+        return {"id": ids, "value": values}
+
+    return arrow_map(_contents(articles), run, "id string, value long").join(longer_values(articles), "value").select("id").dropDuplicates()
+
+
+def _limits(rows: DataFrame) -> DataFrame:
+    """(id): undecided contents that fill a length at which contents break off far more often than at the lengths around.
+
+    Lengths are counted in characters and bytes, per source and method and per method.
+    """
+    # fixed values: scope and unit
+    of = [F.struct(F.lit(f"{scope}/{unit}").alias("what"), (F.col("source_uri") if scope == "source" else F.lit("*")).alias("s"), F.col("method").alias("m"), F.col(unit).alias("size")) for scope in ("source", "method") for unit in ("chars", "bytes")]
+    long = rows.select("id", "off", F.explode(F.array(*of)).alias("k")).select("id", "off", "k.*").where("s is not null and m is not null")
+    g = long.groupBy("what", "s", "m", "size").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("off").cast("int")).alias("cut"))
+    near = Window.partitionBy("what", "s", "m").orderBy("size").rangeBetween(-AROUND, AROUND)
+    g = g.withColumn("around", F.sum("cut").over(near) - F.col("cut"))
+    spike = (F.col("cut") >= LIMIT_ROWS) & (F.col("cut") >= F.lit(LIMIT_SHARE) * F.col("k")) & (F.col("cut") * (2 * AROUND) >= F.lit(SPIKE) * F.col("around"))
+    at = ["what", "s", "m", "size"]
+    return long.where(~F.col("off")).join(g.where(spike).select(*at), at, "left_semi").select("id").distinct()
+
+
+def cut_articles(articles: DataFrame) -> DataFrame:
+    """(id, source_uri, evidence) of every cut content; evidence is the first that holds of ``longer copy``, the sign, ``limit``."""
     seen = cut_lineage(_observed(articles))
-    rows = seen.where("kind = 'c'").drop("kind", "n")
-    whole = seen.where("kind = 'f'").groupBy("form").agg(F.sum("n").alias("known")).where(F.col("known") >= COMPLETE_ROWS)
-    rows = rows.join(whole, "form", "left").join(whole.select(F.col("form").alias("tail"), F.col("known").alias("known_tail")), "tail", "left")
-    rows = rows.withColumn("off", F.col("sign").isin("open", "short") & F.col("known").isNull() & F.col("known_tail").isNull())
-
-    def limit(keys: list[str], unit: str) -> DataFrame:
-        """Lengths at which contents break off far more often than at the lengths around."""
-        g = rows.where(F.col("sign").isin("", "open", "short")).groupBy(*keys, unit).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("off").cast("int")).alias("cut"))
-        near = Window.partitionBy(*keys).orderBy(unit).rangeBetween(-AROUND, AROUND)
-        g = g.withColumn("around", F.sum("cut").over(near) - F.col("cut"))
-        spike = (F.col("cut") >= LIMIT_ROWS) & (F.col("cut") >= F.lit(LIMIT_SHARE) * F.col("k")) & (F.col("cut") * (2 * AROUND) >= F.lit(SPIKE) * F.col("around"))
-        return g.where(spike).select(*keys, unit, F.lit(True).alias("__hit"))
-
-    for n, (keys, unit) in enumerate([(["source_uri", "method"], "chars"), (["source_uri", "method"], "bytes"), (["method"], "chars"), (["method"], "bytes")]):
-        rows = rows.join(limit(keys, unit).withColumnRenamed("__hit", f"l{n}"), [*keys, unit], "left")
-    full = F.coalesce(F.col("l0"), F.col("l1"), F.col("l2"), F.col("l3"), F.lit(False))
-    longer = longer_copies(articles, summaries).withColumn("longer", F.lit(True))
-    rows = rows.join(longer, "id", "left")
-    evidence = (
-        F.when(F.col("sign").isin("mark", "broken"), F.col("sign")).when(F.col("off"), "unended").when(full, "limit").when(F.col("longer"), "longer copy")
-    )
-    return rows.select("id", "source_uri", evidence.alias("evidence")).where("evidence is not null").dropDuplicates(["id"])
+    f = seen.where("kind = 'f'").select("form", "n", F.lit(0).cast("long").alias("ends"), "id_low", "id_high")
+    ends = seen.where("kind = 'c' and sign in ('open', 'short')").select(F.explode(F.array("form", "tail")).alias("form")).where("form is not null")
+    ends = ends.select("form", F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("ends"), *[F.lit(None).cast("string").alias(c) for c in ("id_low", "id_high")])
+    whole = f.unionByName(ends).groupBy("form").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.min("id_low").alias("lo"), F.max("id_high").alias("hi"))
+    whole = whole.where((F.col("ends") > 0) & (F.col("lo") != F.col("hi")) & (F.col("n") >= F.lit(WHOLE_SHARE) * F.col("ends"))).select("form")
+    # only contents that break off take part in the joins, so no null or empty key gathers the others
+    rows = seen.where("kind = 'c'").select("id", "source_uri", "method", "sign", "form", "tail", "value", "chars", "bytes")
+    broken = rows.where("sign <> ''")
+    unsure = broken.where("sign in ('open', 'short')")
+    known = unsure.join(whole, "form", "left_semi").select("id").union(unsure.join(whole.withColumnRenamed("form", "tail"), "tail", "left_semi").select("id")).distinct()
+    off = broken.join(known, "id", "left_anti").join(longer_values(articles).withColumn("longer", F.lit(True)), "value", "left")
+    cut = off.select("id", "source_uri", F.when(F.col("longer"), "longer copy").when(F.col("sign").isin("mark", "broken"), F.col("sign")).otherwise("unended").alias("evidence"))
+    cut = cut_lineage(cut.dropDuplicates(["id", "source_uri"]))
+    plain = rows.where("sign in ('', 'open', 'short')").join(cut.select("id", F.lit(True).alias("off")), "id", "left").withColumn("off", F.coalesce("off", F.lit(False)))
+    full = rows.select("id", "source_uri").join(_limits(plain), "id", "left_semi").select("id", "source_uri", F.lit("limit").alias("evidence")).dropDuplicates(["id", "source_uri"])
+    return cut.unionByName(full)
 
 
 def p1_found(articles: DataFrame) -> DataFrame:
-    return cut_articles(articles).select("id")
+    return cut_articles(articles).select("id").distinct()
+
+
+def p1_evidence(articles: DataFrame) -> DataFrame:
+    """(evidence, n): how many of the rows of ``p1_found`` each kind of evidence decides."""
+    return cut_articles(articles).groupBy("id").agg(F.min("evidence").alias("evidence")).groupBy("evidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def p1_sources(articles: DataFrame) -> DataFrame:
     """(source_uri, n_ids, n_cut, share): how often each source cuts, over its ids with a content."""
-    all_ = articles.where("id is not null and length(trim(content)) > 0").select("id", "source_uri").dropDuplicates(["id"])
+    all_ = articles.where("id is not null and length(trim(content)) > 0").select("id", "source_uri").distinct()
     cut = p1_found(articles).withColumn("cut", F.lit(1))
     g = all_.join(cut, "id", "left").groupBy("source_uri").agg(F.count(F.lit(1)).alias("n_ids"), F.sum(F.coalesce("cut", F.lit(0))).alias("n_cut"))
     return g.withColumn("share", F.round(F.col("n_cut") / F.col("n_ids"), 4))
