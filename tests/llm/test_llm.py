@@ -4,6 +4,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import boilerplate, bpe, langid, leakage, lookalike, mojibake, queries, sitelines, truncation
 
@@ -98,16 +99,18 @@ def test_longer_copy_of_a_hot_text(spark):
 
 def test_prefixes_like_brute_force():
     rng = np.random.default_rng(5)
-    values = {"ab"[rng.integers(2)] * 5 + "".join(rng.choice(list("ab"), rng.integers(0, 60))) for _ in range(400)}
+    values = sorted({"ab"[rng.integers(2)] * 5 + "".join(rng.choice(list("abé"), rng.integers(0, 60))) for _ in range(400)})
+    _, prefix, _, data, at = truncation.prefixes(values)
     rows = {}
-    for v in values:
-        for k, r in truncation.prefixes(v):
-            rows.setdefault(k, set()).add(r)
-    for v in values:
-        if (k := truncation.looked_up(v)) is None:
-            assert len(v) < truncation.FIRST
-        else:
-            assert any(r != k[1] and r.startswith(k[1]) for r in rows[k[0]]) == any(x != v and x.startswith(v) for x in values)
+    for k, a, b in zip(prefix, at, at[1:]):
+        rows.setdefault(k, set()).add(bytes(data[a:b]))
+    line, asked, _, data, at = truncation.prefixes(values, True)
+    long = [v for v in values if len(v.encode()) >= truncation.FIRST]
+    assert line.tolist() != [] and sorted(line.tolist()) == list(range(len(long)))
+    for n, k, a, b in zip(line, asked, at, at[1:]):
+        mine = bytes(data[a:b])
+        assert any(r != mine and r.startswith(mine) for r in rows[k]) == any(x != long[n] and x.startswith(long[n]) for x in values)
+    assert [len(x) for x in truncation.prefixes([])] == [0, 0, 0, 0, 1] and len(truncation.prefixes(["", "short"])[0]) == 0
 
 
 def test_lines_known_as_whole(spark):
@@ -235,6 +238,28 @@ def test_leaks(spark):
     assert {r.run_words for r in leakage.p9_report(d, i).where("doc_id = 2").collect()} == {12}
 
 
+def test_any_number_of_items(spark):
+    """25,000 items in many blocks; those of the last blocks are found as well."""
+    text = lambda i: " ".join(f"w{i}x{k}" if k % 3 == 0 else f"c{(i * 7 + k * 13) % 900}" for k in range(16))
+    n = 25_000
+    d = spark.createDataFrame([(i, f"before {text(i)} after") for i in (0, 11_000, n - 1)] + [(-1, "x" * 200 + " \x00 " + text(5))], "doc_id long, text string")
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.udf(text, "string")("id").alias("text"))
+    assert sorted(tuple(r) for r in leakage.p9_found(d, items).collect()) == [(-1, 5), (0, 0), (11_000, 11_000), (n - 1, n - 1)]
+
+
+def test_checks_like_plain_tables():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = rng.integers(0, 6, 20).tolist(), rng.integers(0, 5, 15).tolist()
+        run, lcs = np.zeros((21, 16), int), np.zeros((21, 16), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                run[i + 1, j + 1] = run[i, j] + 1 if x == y else 0
+                lcs[i + 1, j + 1] = lcs[i, j] + 1 if x == y else max(lcs[i, j + 1], lcs[i + 1, j])
+        places = leakage._places(b)
+        assert leakage.longest_run(a, places) == run.max() and leakage.common_subsequence(a, places, len(b)) == lcs[-1, -1]
+
+
 @pytest.mark.parametrize(
     "good, by, written",
     [("déclaré", "cp1252", "utf-8"), ("déclaré", "cp437", "utf-8"), ("première", "mac_roman", "utf-8"), ("Областное управление", "cp1251", "utf-8"), ("Областное", "latin-1", "cp1251"), ("farmers’", "cp1252", "utf-8"),

@@ -11,13 +11,21 @@ the item's last words (its answer) are there.
 Two bounds skip work without losing candidates: a cosine in the latent space is at most the share of a passage's norm
 that lies in the vocabulary, and at most the share that the projection keeps.
 
-Bounds: ``MAX_ITEMS`` items are held by every worker; the basis is fitted on about ``FIT_DOCS`` documents; all documents
-are searched. Defined results: null and empty texts have no passages; texts shorter than a run share none.
+Items are a query set of any number: they are streamed to the driver and searched for in blocks of at most ``BLOCK_WORDS``
+words, each block with a basis of its own, so what is broadcast at once is bounded whatever the number of items. A basis
+is fitted on about ``FIT_DOCS`` documents; all documents are counted and searched. The range sketch and the products are
+sparse: only the rows of words that occur are added up.
+
+Defined results: null and empty texts have no passages; null keys have no rows; texts shorter than a run share none;
+documents and items that occur twice count once.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -31,7 +39,8 @@ RUN = 13
 RANK = 96
 COSINE = 0.22
 FIT_DOCS = 4000
-MAX_ITEMS = 20_000
+#: Words of the items of one block; bounds the vocabulary, and with it the basis (4 * RANK bytes a word) that workers hold.
+BLOCK_WORDS = 100_000
 OUTSIDE = 2.0
 #: Least weight of a word of the items, so that an item leaked into most documents is still found.
 LEAST_IDF = 1.0
@@ -49,8 +58,9 @@ def windows(n: int) -> np.ndarray:
     return np.arange(0, max(n - RUN, 0) + 1, RUN) if n else np.zeros(0, np.int64)
 
 
-#: Set between the texts of a batch; being longer than any word of a text, no text holds it.
-_STOP = "x" * 200
+#: Set between the texts of a batch, where it is no part of a text.
+_STOP = "\x00"
+_WORD_OR_STOP = re.compile(r"[^\W_]+|\x00")
 
 
 class Items:
@@ -61,9 +71,18 @@ class Items:
         self.vocab = {w: k for k, w in enumerate(dict.fromkeys(w for t in self.texts for w in t))}
         self.coded = [np.array([self.vocab[w] for w in t], np.int64) for t in self.texts]
         self.runs = [{tuple(c[k : k + RUN].tolist()) for k in range(len(c) - RUN + 1)} for c in self.coded]
+        self.places = [_places(c.tolist()) for c in self.coded]
         self.passages = [(i, c[s : s + 2 * RUN]) for i, c in enumerate(self.coded) for s in windows(len(c))]
 
 
+def _places(coded: list[int]) -> dict[int, tuple[int, ...]]:
+    """Where each word stands in an item."""
+    out = defaultdict(list)
+    for k, w in enumerate(coded):
+        out[w].append(k)
+    return {w: tuple(ks) for w, ks in out.items()}
+
+
 def passage_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values, axis=0, dtype=np.float64)])
     return total[ends] - total[starts]
@@ -92,7 +111,7 @@ def _norm2(coded: np.ndarray, weight2: np.ndarray) -> float:
 
 def code(texts: list[str | None], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(word codes of all texts in a row, number of words of each); outside words are ``len(vocab)``."""
-    found = _WORD.findall(f" {_STOP} ".join(t or "" for t in texts).lower())
+    found = _WORD_OR_STOP.findall(_STOP.join((t or "").replace(_STOP, " ") for t in texts).lower())
     codes = np.fromiter(map((vocab | {_STOP: -1}).get, found, repeat(len(vocab))), np.int64, len(found))
     stops = np.flatnonzero(codes == -1)
     edge = np.concatenate([[-1], stops, [len(found)]])
@@ -136,29 +155,26 @@ def candidates(coded: np.ndarray, n: np.ndarray, b: Basis):
     return list(dict.fromkeys(out))
 
 
-def longest_run(a: list[int], b: list[int], outside: int) -> int:
-    """Length of the longest run of equal words."""
-    best, last = 0, [0] * (len(b) + 1)
-    for x in a:
-        row = [0] * (len(b) + 1)
-        if x != outside:
-            for j, y in enumerate(b, 1):
-                if x == y:
-                    row[j] = last[j - 1] + 1
-                    best = max(best, row[j])
-        last = row
+def longest_run(words_: list[int], places: dict[int, tuple[int, ...]]) -> int:
+    """Length of the longest run of equal words: only the places where a word stands in the item are looked at."""
+    best, last = 0, {}
+    for x in words_:
+        last = {k: last.get(k - 1, 0) + 1 for k in places.get(x, ())}
+        if last:
+            best = max(best, *last.values())
     return best
 
 
-def common_subsequence(a: list[int], b: list[int], outside: int) -> int:
-    last = [0] * (len(b) + 1)
-    for x in a:
-        row, here = [0], 0
-        for j, y in enumerate(b, 1):
-            here = last[j - 1] + 1 if x == y != outside else max(last[j], here)
-            row.append(here)
-        last = row
-    return last[-1]
+def common_subsequence(words_: list[int], places: dict[int, tuple[int, ...]], size: int) -> int:
+    """Length of the longest common subsequence with an item of ``size`` words, all of its places as bits of one number."""
+    full = (1 << size) - 1
+    s = full
+    for x in words_:
+        at = places.get(x)
+        if at:
+            u = s & sum(1 << k for k in at)
+            s = ((s + u) | (s - u)) & full
+    return size - s.bit_count()
 
 
 def _document_frequencies(documents: DataFrame, items: Items, text: str) -> tuple[np.ndarray, int]:
@@ -185,95 +201,117 @@ def _document_frequencies(documents: DataFrame, items: Items, text: str) -> tupl
     return df[:-1], int(df[-1])
 
 
-def _sketch(items: Items, idf: np.ndarray, omega: np.ndarray, coded: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """This batch's part of A'A Omega."""
+def _sketch(items: Items, idf: np.ndarray, omega: np.ndarray, coded: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """This batch's part of A'A Omega: the words that occur and their rows."""
     start, end, _ = layout(n)
-    y = np.zeros((len(idf) + 1, omega.shape[1]))
-    if len(start):
-        wide = np.vstack([idf[:, None] * omega, np.zeros((1, omega.shape[1]))])
-        size = end - start
-        at = coded[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        low = np.add.reduceat(wide[at], np.cumsum(size) - size, axis=0)
-        order = np.argsort(at, kind="stable")
-        rows = np.repeat(np.arange(len(size)), size)[order]
-        codes = at[order]
-        known = codes < len(idf)
-        codes, rows = codes[known], rows[known]
-        if len(codes):
-            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-            y[codes[first]] += np.add.reduceat(low[rows], first, axis=0)
-            y[: len(idf)] *= idf[:, None]
-    return y[:-1]
-
-
-def fit(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", text: str = "text") -> Basis | None:
-    rows = eval_items.where("item_id is not null and text is not null").orderBy("item_id").limit(MAX_ITEMS).select("item_id", "text").collect()
-    items = Items([(r.item_id, r.text) for r in rows])
+    none = np.zeros(0, np.int64), np.zeros((0, omega.shape[1]))
+    if not len(start):
+        return none
+    size = end - start
+    at = coded[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    rows = np.repeat(np.arange(len(size)), size)
+    known = at < len(idf)
+    at, rows = at[known], rows[known]
+    if not len(at):
+        return none
+    # passages with words of the items, in order; each is projected once
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    low = np.add.reduceat(idf[at, None] * omega[at], first, axis=0)
+    rows = np.cumsum(np.append(False, rows[1:] != rows[:-1]))
+    order = np.argsort(at, kind="stable")
+    codes, rows = at[order], rows[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[first], np.add.reduceat(low[rows], first, axis=0) * idf[codes[first], None]
+
+
+def item_blocks(eval_items: DataFrame, block_words: int) -> Iterator[Items]:
+    """The items in blocks of at most ``block_words`` words (a longer item stands alone), streamed in the order of their ids."""
+    rows, size = [], 0
+    for r in eval_items.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
+        n = len(words(r.text))
+        if rows and size + n > block_words:
+            yield Items(rows)
+            rows, size = [], 0
+        rows.append((r.item_id, r.text))
+        size += n
+    if rows:
+        yield Items(rows)
+
+
+def fit(documents: DataFrame, items: Items, key: str = "doc_id", text: str = "text") -> Basis | None:
+    """Basis of one block of items; None where no item has a word."""
     if not items.passages:
         return None
     df, n_docs = _document_frequencies(documents, items, text)
     idf = np.maximum(np.log((1 + n_docs) / (1 + df)), LEAST_IDF)
     size = min(RANK + 16, len(idf))
     omega = np.random.default_rng(SEED).standard_normal((len(idf), size))
-    held = documents.sparkSession.sparkContext.broadcast((items, idf, omega))
-    share = min(1.0, FIT_DOCS / max(1, n_docs))
-    sample = documents.where(F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(text).alias("t")).where("t is not null")
-    schema = pa.schema([("y", pa.binary())])
+    held = documents.sparkSession.sparkContext.broadcast((items, idf, omega))  # bounded by block_words
+    sample = documents
+    if n_docs > FIT_DOCS:  # a threshold on the whole 64-bit hash: as fine as the corpus is large
+        sample = documents.where(F.xxhash64(F.col(key), F.lit(SEED)) < F.lit(int(FIT_DOCS / n_docs * 2**64) - 2**63))
+    schema = pa.schema([("w", pa.int64()), ("y", pa.binary())])
+
+    def added(parts: Iterator[tuple[np.ndarray, np.ndarray]]):
+        """Sum of sparse rows, as one batch."""
+        at: dict[int, int] = {}
+        total: list[np.ndarray] = []
+        for w, y in parts:
+            for k, row in zip(w.tolist(), y):
+                if k in at:
+                    total[at[k]] += row
+                else:
+                    at[k] = len(total)
+                    total.append(row.astype(np.float64))
+        if total:
+            yield pa.RecordBatch.from_pydict({"w": list(at), "y": [x.astype(np.float32).tobytes() for x in total]}, schema=schema)
 
     def sketch(batches):
         items_, idf_, omega_ = held.value
-        y = np.zeros((len(idf_), omega_.shape[1]))
-        for b in batches:
-            y += _sketch(items_, idf_, omega_, *code(b["t"].to_pylist(), items_.vocab))
-        yield pa.RecordBatch.from_pydict({"y": [y.astype(np.float32).tobytes()]}, schema=schema)
+        return added(_sketch(items_, idf_, omega_, *code(b["t"].to_pylist(), items_.vocab)) for b in batches)
 
     def add(batches):
-        total = None
-        for b in batches:
-            for y in b["y"].to_pylist():
-                y = np.frombuffer(y, np.float32).astype(np.float64)
-                total = y if total is None else total + y
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"y": [total.astype(np.float32).tobytes()]}, schema=schema)
-
-    parts = sample.mapInArrow(sketch, "y binary")
-    summed = parts.repartition(4).mapInArrow(add, "y binary").collect()  # at most four sums
-    own = _sketch(items, idf, omega, np.concatenate([c for _, c in items.passages]), np.array([len(c) for _, c in items.passages]))
-    y = sum((np.frombuffer(r.y, np.float32).reshape(own.shape).astype(np.float64) for r in summed), np.zeros_like(own))
+        return added((b["w"].to_numpy(), np.stack([np.frombuffer(y, np.float32) for y in b["y"].to_pylist()])) for b in batches if b.num_rows)
+
+    parts = sample.select(F.col(text).alias("t")).where("t is not null").mapInArrow(sketch, "w long, y binary")
+    y = np.zeros((len(idf), size))
+    for r in parts.repartition(4, "w").mapInArrow(add, "w long, y binary").collect():  # one row per word of the block that the sample holds
+        y[r.w] = np.frombuffer(r.y, np.float32)
+    own = np.zeros_like(y)
+    w, rows = _sketch(items, idf, omega, np.concatenate([c for _, c in items.passages]), np.array([len(c) for _, c in items.passages]))
+    own[w] = rows
     # the items' own part weighs as much as the corpus', so that the basis keeps what tells items apart
     y = y / max(np.linalg.norm(y), 1e-9) + own / max(np.linalg.norm(own), 1e-9)
     q, _ = np.linalg.qr(y)
-    a = np.zeros((len(items.passages), len(idf)))
-    for r, (_, c) in enumerate(items.passages):
-        np.add.at(a[r], c, idf[c])
-    _, _, vt = np.linalg.svd(a @ q, full_matrices=False)
-    return Basis(items, idf, q @ vt[:RANK].T)
+    low = np.stack([(idf[c, None] * q[c]).sum(axis=0) for _, c in items.passages])  # A q, without ever writing A out
+    _, vectors = np.linalg.eigh(low.T @ low)  # its right singular vectors, the greatest last
+    return Basis(items, idf, q @ vectors[:, ::-1][:, :RANK])
 
 
-def _checked(documents: DataFrame, basis: Basis | None, key: str, text: str, full: bool) -> DataFrame:
+def _checked(documents: DataFrame, eval_items: DataFrame, key: str, text: str, full: bool, block_words: int) -> DataFrame:
+    """Candidates of every block of items with their checks."""
     spark = documents.sparkSession
-    kind = dict(documents.dtypes)[key]
-    schema = f"doc_id {kind}, item_id long, run_words int, lcs_words int, item_words int, answered boolean"
-    if basis is None:
-        return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast(basis)  # bounded by MAX_ITEMS
+    schema = f"doc_id {dict(documents.dtypes)[key]}, item_id long, run_words int, lcs_words int, item_words int, answered boolean"
+    bases = (fit(documents, items, key, text) for items in item_blocks(eval_items, block_words))
+    found = [_search(documents, spark.sparkContext.broadcast(b), schema, key, text, full) for b in bases if b is not None]
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
+
+
+def _search(documents: DataFrame, held, schema: str, key: str, text: str, full: bool) -> DataFrame:
 
     def run(b: pa.RecordBatch):
         m = held.value
-        out = len(m.items.vocab)
         coded, n = code(b["t"].to_pylist(), m.items.vocab)
         best: dict[tuple[int, int], list[int]] = {}
         for t, s, e, i in candidates(coded, n, m):
             w = coded[s:e].tolist()
-            runs = m.items.runs[i]
-            hit = any(tuple(w[k : k + RUN]) in runs for k in range(len(w) - RUN + 1))
             if full:
-                c = m.items.coded[i].tolist()
-                r, lcs = longest_run(w, c, out), common_subsequence(w, c, out)
-                answered = set(c[-3:]) <= set(w)
+                c, places = m.items.coded[i], m.items.places[i]
+                r, lcs = longest_run(w, places), common_subsequence(w, places, len(c))
+                answered = set(c[-3:].tolist()) <= set(w)
                 old = best.get((t, i), [0, 0, False])
                 best[t, i] = [max(old[0], r), max(old[1], lcs), old[2] or answered]
-            elif hit:
+            elif any(tuple(w[k : k + RUN]) in m.items.runs[i] for k in range(len(w) - RUN + 1)):
                 best[t, i] = [RUN, RUN, False]
         if not best:
             return None
@@ -286,11 +324,11 @@ def _checked(documents: DataFrame, basis: Basis | None, key: str, text: str, ful
     return arrow_map(documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null and k is not null"), run, schema, rows=200)
 
 
-def p9_found(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def p9_found(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id) of documents and items that share at least ``RUN`` consecutive words."""
-    return _checked(documents, fit(documents, eval_items, key, text), key, text, False).select("doc_id", "item_id").dropDuplicates()
+    return _checked(documents, eval_items, key, text, False, block_words).select("doc_id", "item_id").distinct()
 
 
-def p9_report(documents: DataFrame, eval_items: DataFrame, least: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+def p9_report(documents: DataFrame, eval_items: DataFrame, least: int = 10, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every candidate whose longest common subsequence within a passage has at least ``least`` words, paraphrases included."""
-    return _checked(documents, fit(documents, eval_items, key, text), key, text, True).where(F.col("lcs_words") >= least)
+    return _checked(documents, eval_items, key, text, True, block_words).where(F.col("lcs_words") >= least).distinct()

@@ -3,8 +3,8 @@
 The method is a self-join on prefixes. A value that was cut is a strict prefix of a longer copy elsewhere: of the whole
 text, or, where no other text begins alike, of the sentence it breaks off in. Both are one join, since the last
 sentence of a cut text is the strict prefix of that sentence in any longer copy. Each sentence is brought to its form
-(no digits, proper names or case), and prefixes of fixed lengths ``FIRST * 2**k`` are hashed. A sentence gives one row
-(hash of its first g characters, the next g) for each such length g; what a content ends with is looked up by the
+(no digits, proper names or case), and prefixes of fixed lengths ``FIRST * 2**k`` bytes are hashed. A sentence gives one row
+(hash of its first g bytes, the next g) for each such length g; what a content ends with is looked up by the
 greatest g that fits: sorted by the rest, a strict prefix stands right before a row that goes on from it. Every text is
 thereby moved about once, in small rows that combine before the shuffle, and no row holds a whole text.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,6 +33,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.arrow import arrow_map
 from tidemark.llm.lookalike import canonical
+from tidemark.llm.rolling import Rolling, gather
 from tidemark.session import cut_lineage
 
 #: A field limit needs so many values of exactly its length, and so great a share of them visibly broken off.
@@ -42,17 +44,21 @@ SPIKE, AROUND = 8, 10
 WHOLE_SHARE = 0.05
 #: Least length of a hashed prefix; shorter values are prefixes of too much to prove anything.
 FIRST = 12
+#: Rows a task remembers to have sent already.
+SEEN = 1_000_000
 
 _MARK = re.compile(r"(?:\[\s?\+?\s?\d+\s?(?:chars?|characters|more)?\s?\]|\[\s?(?:…|\.{3})\s?\]|\(\s?(?:…|\.{3})\s?\)|…|\.{3})\s*$")
 _BROKEN = re.compile("(?:�+|<[A-Za-z/!][^<>]*|&(?:#\\d*|#x[0-9a-fA-F]*|[A-Za-z]{1,8})?)\\s*$")
 _END = re.compile("[.!?。！？…)\\]）】»”\"'’“]\\s*$")
 _LEAD = re.compile(r"^\s*(?:[-•*–]|\d{1,2}[.)])\s+")
-_NAME = re.compile(r"(?<=[ \t(«“„\"'’-])[^\W\d_a-zа-яß-öø-ÿ一-鿿][\w'’-]*")
+_NAME_AT = r"[^\W\d_a-zа-яß-öø-ÿ一-鿿][\w'’-]*"
+_NAME = re.compile(r"(?<=[\s(«“„\"'’-])" + _NAME_AT)
+_NAME_AFTER = re.compile(r"([ \t(«“„\"'’-])" + _NAME_AT)
 _INNER = re.compile(r"[.!?]['\"”»’]?\s+\S|[。！？][”』」]?.")
-_SENTENCE = re.compile("(?<=[.!?])[\"'”»’)\\]]*\\s+|(?<=[。！？])[”』」）]*|\\r?\\n")
+_SENTENCE = re.compile("[.!?][\"'”»’)\\]]*\\s+|[。！？][”』」）]*|\r?\n")
 _CRUMBS = re.compile(r"\s[>»›/|·]\s\S.*\s[>»›/|·]\s\S")
-_DIGITS = str.maketrans("", "", "0123456789")
-_BLANKS = re.compile(r"[ \t\r]{2,}")
+_NUMBERS = re.compile("[0-9]+")
+_BLANKS = re.compile(r"[ \t\r]*\n[ \t\r\n]*|[ \t\r]{2,}")
 
 
 def line_form(line: str) -> str:
@@ -110,11 +116,11 @@ def complete_forms(content: str, title: str | None) -> set[str]:
     return out
 
 
-def sentences(content: str) -> list[str]:
-    """Forms of the sentences and lines of a content in order, without empty ones."""
+def sentences(content: str) -> str:
+    """Forms of the sentences and lines of a content in order, each on a line; without the marks they end with."""
     s = _SENTENCE.sub("\n", canonical(content))
-    s = _BLANKS.sub(" ", _NAME.sub("#", s).translate(_DIGITS)).lower()
-    return [x for p in s.split("\n") if (x := p.strip())]
+    s = _NUMBERS.sub("", _NAME_AFTER.sub(r"\1#", s))
+    return _BLANKS.sub(lambda m: "\n" if "\n" in m.group() else " ", s).strip().lower()
 
 
 def last_sentence(content: str, sign: str) -> str:
@@ -123,30 +129,47 @@ def last_sentence(content: str, sign: str) -> str:
     if sign in ("mark", "broken"):
         text = (_MARK if sign == "mark" else _BROKEN).sub("", text[-4000:] if "\n" in text[-4000:-40] else text)
     line = text.rstrip()
-    got = sentences(line[line.rfind("\n") + 1 :])
-    return got[-1] if got else ""
+    return sentences(line[line.rfind("\n") + 1 :]).rpartition("\n")[2]
 
 
 def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def looked_up(form: str) -> tuple[int, str] | None:
-    """(hash of the greatest fixed-length prefix, the rest) of a value; None where it is too short."""
-    g = FIRST
-    if len(form) < g:
-        return None
-    while 2 * g <= len(form):
-        g *= 2
-    return _hash(f"{g}/{form[:g]}"), form[g:]
+def _lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of the lines of all texts that are long enough."""
+    buf = np.frombuffer(("\n".join(texts) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+    ends = np.flatnonzero(buf == 10)
+    starts = np.append(0, ends[:-1] + 1)
+    keep = ends - starts >= FIRST
+    return buf, starts[keep], ends[keep]
+
 
+def prefixes(texts: list[str], looked_up: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line of at least FIRST bytes: (line, hash of a prefix, hash of what follows, what follows as bytes and offsets).
 
-def prefixes(form: str):
-    """(hash, what follows) of each fixed-length prefix of a sentence."""
-    g = FIRST
-    while g <= len(form):
-        yield _hash(f"{g}/{form[:g]}"), form[g : 2 * g]
+    One row for each fixed length that fits, with the next as many bytes; ``looked_up``: the greatest one only, with all the rest.
+    """
+    buf, starts, ends = _lines(texts)
+    roll = Rolling(buf)
+    line, at, stop = [], [], []
+    g, size = FIRST, ends - starts
+    while len(k := np.flatnonzero(size >= g)):
+        if looked_up:
+            k = k[size[k] < 2 * g]
+        line.append(k)
+        at.append(starts[k] + g)
+        stop.append(np.minimum(starts[k] + 2 * g, ends[k]))
         g *= 2
+    if not line:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    line, at, stop = (np.concatenate(x) for x in (line, at, stop))
+    return line, roll.of(starts[line], at), roll.of(at, stop), *gather(buf, at, stop)
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
 def _contents(articles: DataFrame) -> DataFrame:
@@ -187,23 +210,28 @@ def longer_values(articles: DataFrame) -> DataFrame:
     shares brings only its distinct continuations (at most one length further) to one task, where they are streamed in order.
     """
 
+    seen: set[int] = set()
+
     def run(b: pa.RecordBatch):
-        known: set[str] = set()
-        rows: dict[tuple[int, str], int | None] = {}
-        for c in b["content"].to_pylist():
-            if not c.strip():
-                continue
-            for s in sentences(c):
-                if s not in known:
-                    known.add(s)
-                    for k in prefixes(s):
-                        rows.setdefault(k, None)
-            sign, _, _ = look(c)
-            if sign and (last := last_sentence(c, sign)) and (k := looked_up(last)):
-                rows[k] = _hash(last)
-        return {"prefix": [k for k, _ in rows], "rest": [r for _, r in rows], "value": list(rows.values())}
-
-    rows = arrow_map(_contents(articles), run, "prefix long, rest string, value long", rows=4000)
+        texts = [sentences(c) for c in b["content"].to_pylist()]
+        _, prefix, rest, data, offsets = prefixes(texts)
+        pair = prefix * 31 + rest
+        _, first = np.unique(pair, return_index=True)
+        if len(seen) > SEEN:
+            seen.clear()
+        known = pair.tolist()
+        first = np.array([k for k in first.tolist() if known[k] not in seen], np.int64)
+        seen.update(known[k] for k in first.tolist())
+        data, more = gather(data, offsets[first], offsets[first + 1])
+        last = [x for c in b["content"].to_pylist() if c.strip() and (sign := look(c)[0]) and (x := last_sentence(c, sign))]
+        last = [x for x in dict.fromkeys(last) if len(x.encode("utf-8", "surrogatepass")) >= FIRST]
+        line, asked, _, asked_data, asked_offsets = prefixes(last, True)
+        return {
+            "prefix": np.concatenate([prefix[first], asked]), "rest": pa.concat_arrays([_binary(data, more), _binary(asked_data, asked_offsets)]),
+            "value": pa.array([None] * len(first) + [_hash(last[k]) for k in line.tolist()], pa.int64()),
+        }
+
+    rows = arrow_map(_contents(articles), run, "prefix long, rest binary, value long", rows=1000)
     each = rows.groupBy("prefix", "rest").agg(F.max("value").alias("value"))
     after = F.lead("rest").over(Window.partitionBy("prefix").orderBy("rest"))
     return each.withColumn("next", after).where("value is not null and startswith(next, rest)").select("value").distinct()
