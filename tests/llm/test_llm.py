@@ -239,7 +239,7 @@ def test_leaks(spark):
 
 
 def test_any_number_of_items(spark):
-    """25,000 items in many blocks; those of the last blocks are found as well."""
+    """25,000 items in groups and blocks; those of the last ones are found as well."""
     text = lambda i: " ".join(f"w{i}x{k}" if k % 3 == 0 else f"c{(i * 7 + k * 13) % 900}" for k in range(16))
     n = 25_000
     d = spark.createDataFrame([(i, f"before {text(i)} after") for i in (0, 11_000, n - 1)] + [(-1, "x" * 200 + " \x00 " + text(5))], "doc_id long, text string")

@@ -11,10 +11,11 @@ the item's last words (its answer) are there.
 Two bounds skip work without losing candidates: a cosine in the latent space is at most the share of a passage's norm
 that lies in the vocabulary, and at most the share that the projection keeps.
 
-Items are a query set of any number: they are streamed to the driver and searched for in blocks of at most ``BLOCK_WORDS``
-words, each block with a basis of its own, so what is broadcast at once is bounded whatever the number of items. A basis
-is fitted on about ``FIT_DOCS`` documents; all documents are counted and searched. The range sketch and the products are
-sparse: only the rows of words that occur are added up.
+Items are a query set of any number. They are streamed to the driver in groups of at most ``GROUP_WORDS`` words; a group costs
+three passes over the documents (word counts, sketch of a sample, search), and what it broadcasts is bounded. Inside a group
+every ``BLOCK_PASSAGES`` passages have a latent basis of their own, whose rank grows until each of them keeps ``KEPT`` of its
+length, so that recall doesn't fall as items are added. A basis is fitted on the items and about ``FIT_DOCS`` documents;
+all documents are counted and searched. The sketch and the products are sparse: only rows of words that occur are added up.
 
 Defined results: null and empty texts have no passages; null keys have no rows; texts shorter than a run share none;
 documents and items that occur twice count once.
@@ -36,11 +37,14 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrow import arrow_map
 
 RUN = 13
-RANK = 96
+#: Least rank of a basis, and the share of each item passage's length that a basis has to keep.
+RANK, KEPT = 96, 0.7
 COSINE = 0.22
 FIT_DOCS = 4000
-#: Words of the items of one block; bounds the vocabulary, and with it the basis (4 * RANK bytes a word) that workers hold.
-BLOCK_WORDS = 100_000
+#: Passages of items that share a basis, and words of the items searched for in one pass.
+BLOCK_PASSAGES, GROUP_WORDS = 1200, 100_000
+#: Columns of the corpus' part of the sketch.
+SKETCH = 112
 OUTSIDE = 2.0
 #: Least weight of a word of the items, so that an item leaked into most documents is still found.
 LEAST_IDF = 1.0
@@ -89,18 +93,30 @@ def passage_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 
 
 class Basis:
-    """Latent basis: ``project`` takes coded passages, ``queries`` are the projected item passages (unit length)."""
+    """Latent basis of some item passages. ``words`` are the group's codes of its vocabulary, ``queries`` the projected passages (unit length)."""
 
-    def __init__(self, items: Items, idf: np.ndarray, vectors: np.ndarray):
-        self.items, self.idf = items, idf
-        self.matrix = np.vstack([idf[:, None] * vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)  # last row: outside words
-        self.weight2 = np.append(idf**2, OUTSIDE**2)
-        self.inside2 = np.append(idf**2, 0.0)
-        q = np.stack([self.matrix[c].sum(axis=0) for _, c in items.passages]) if items.passages else np.zeros((0, vectors.shape[1]), np.float32)
-        n = np.array([np.sqrt(_norm2(c, self.weight2)) for _, c in items.passages])
-        self.least_norm = float(n.min()) if len(n) else 0.0
-        self.queries = (q / np.maximum(n[:, None], 1e-9)).astype(np.float32)
-        self.owner = np.array([i for i, _ in items.passages], np.int64)
+    def __init__(self, owner: np.ndarray, passages: list[np.ndarray], own: np.ndarray, idf: np.ndarray, vectors: np.ndarray):
+        self.owner, self.words = owner, own
+        self.matrix = np.vstack([idf[own, None] * vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)  # last row: outside words
+        self.inside2 = np.append(idf[own] ** 2, 0.0)
+        self.weight2 = np.append(idf[own] ** 2, OUTSIDE**2)
+        norm = np.array([np.sqrt(_norm2(c, self.weight2)) for c in passages])
+        self.least_norm = float(norm.min())
+        low = np.stack([self.matrix[c].sum(axis=0) for c in passages])
+        self.queries = (low / np.maximum(norm[:, None], 1e-9)).astype(np.float32)
+
+    def code(self, coded: np.ndarray, n_words: int) -> np.ndarray:
+        """Codes of the group as codes of this vocabulary."""
+        to = np.full(n_words + 1, len(self.words), np.int64)
+        to[self.words] = np.arange(len(self.words))
+        return to[coded]
+
+
+class Group:
+    """Items searched for in one pass, with their bases."""
+
+    def __init__(self, items: Items, bases: list[Basis]):
+        self.items, self.bases = items, bases
 
 
 def _norm2(coded: np.ndarray, weight2: np.ndarray) -> float:
@@ -131,7 +147,7 @@ def layout(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def candidates(coded: np.ndarray, n: np.ndarray, b: Basis):
     """(text, start, end, item) of passage pairs whose cosine reaches the threshold."""
     start, end, text = layout(n)
-    if not len(start) or not len(b.queries):
+    if not len(start):
         return []
     # norms with term frequencies taken as 1 each; repeated words only make the true norm larger, so nothing is lost
     inside = passage_sums(b.inside2[coded], start, end)
@@ -201,7 +217,7 @@ def _document_frequencies(documents: DataFrame, items: Items, text: str) -> tupl
     return df[:-1], int(df[-1])
 
 
-def _sketch(items: Items, idf: np.ndarray, omega: np.ndarray, coded: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sketch(n_words: int, idf: np.ndarray, omega: np.ndarray, coded: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """This batch's part of A'A Omega: the words that occur and their rows."""
     start, end, _ = layout(n)
     none = np.zeros(0, np.int64), np.zeros((0, omega.shape[1]))
@@ -210,7 +226,7 @@ def _sketch(items: Items, idf: np.ndarray, omega: np.ndarray, coded: np.ndarray,
     size = end - start
     at = coded[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
     rows = np.repeat(np.arange(len(size)), size)
-    known = at < len(idf)
+    known = at < n_words
     at, rows = at[known], rows[known]
     if not len(at):
         return none
@@ -224,12 +240,12 @@ def _sketch(items: Items, idf: np.ndarray, omega: np.ndarray, coded: np.ndarray,
     return codes[first], np.add.reduceat(low[rows], first, axis=0) * idf[codes[first], None]
 
 
-def item_blocks(eval_items: DataFrame, block_words: int) -> Iterator[Items]:
-    """The items in blocks of at most ``block_words`` words (a longer item stands alone), streamed in the order of their ids."""
+def item_groups(eval_items: DataFrame, group_words: int) -> Iterator[Items]:
+    """The items in groups of at most ``group_words`` words (a longer item stands alone), streamed in the order of their ids."""
     rows, size = [], 0
     for r in eval_items.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         n = len(words(r.text))
-        if rows and size + n > block_words:
+        if rows and size + n > group_words:
             yield Items(rows)
             rows, size = [], 0
         rows.append((r.item_id, r.text))
@@ -238,15 +254,44 @@ def item_blocks(eval_items: DataFrame, block_words: int) -> Iterator[Items]:
         yield Items(rows)
 
 
-def fit(documents: DataFrame, items: Items, key: str = "doc_id", text: str = "text") -> Basis | None:
-    """Basis of one block of items; None where no item has a word."""
+def _basis(passages: list[tuple[int, np.ndarray]], idf: np.ndarray, corpus: np.ndarray) -> Basis:
+    """Randomised SVD of these passages, its range widened by the corpus' sketch; the rank doubles until every passage is kept."""
+    own = np.unique(np.concatenate([c for _, c in passages]))
+    at = {w: k for k, w in enumerate(own.tolist())}
+    local = [np.array([at[w] for w in c.tolist()], np.int64) for _, c in passages]
+    flat, n = np.concatenate(local), np.array([len(c) for c in local])
+    weight = idf[own]
+    norm = np.sqrt(np.array([_norm2(c, np.append(weight**2, 0.0)) for c in local]))
+    most = min(len(own), len(local) + SKETCH)
+    rank = min(RANK, most)
+    while True:
+        size = min(rank + 16, len(own))
+        omega = np.random.default_rng(SEED).standard_normal((len(own), size))
+        y = np.zeros((len(own), size))
+        w, rows = _sketch(len(own), weight, omega, flat, n)
+        y[w] = rows
+        # the corpus' part weighs as much as the items' own in the columns it has
+        c = corpus[own]
+        both = y / max(np.linalg.norm(y), 1e-9)
+        k = min(c.shape[1], size)
+        both[:, :k] += c[:, :k] / max(np.linalg.norm(c), 1e-9)
+        q, _ = np.linalg.qr(both)
+        low = np.stack([(weight[c, None] * q[c]).sum(axis=0) for c in local])  # A q, without ever writing A out
+        _, vectors = np.linalg.eigh(low.T @ low)  # its right singular vectors, the greatest last
+        vectors = q @ vectors[:, ::-1][:, :rank]
+        kept = np.linalg.norm(np.stack([(weight[c, None] * vectors[c]).sum(axis=0) for c in local]), axis=1)
+        if rank >= most or (kept >= KEPT * norm).all():
+            return Basis(np.array([i for i, _ in passages], np.int64), local, own, idf, vectors)
+        rank = min(2 * rank, most)
+
+
+def fit(documents: DataFrame, items: Items, key: str = "doc_id", text: str = "text") -> Group | None:
+    """Bases of one group of items; None where no item has a word."""
     if not items.passages:
         return None
     df, n_docs = _document_frequencies(documents, items, text)
     idf = np.maximum(np.log((1 + n_docs) / (1 + df)), LEAST_IDF)
-    size = min(RANK + 16, len(idf))
-    omega = np.random.default_rng(SEED).standard_normal((len(idf), size))
-    held = documents.sparkSession.sparkContext.broadcast((items, idf, omega))  # bounded by block_words
+    held = documents.sparkSession.sparkContext.broadcast((items.vocab, idf))  # bounded by the group's words
     sample = documents
     if n_docs > FIT_DOCS:  # a threshold on the whole 64-bit hash: as fine as the corpus is large
         sample = documents.where(F.xxhash64(F.col(key), F.lit(SEED)) < F.lit(int(FIT_DOCS / n_docs * 2**64) - 2**63))
@@ -267,33 +312,27 @@ def fit(documents: DataFrame, items: Items, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_pydict({"w": list(at), "y": [x.astype(np.float32).tobytes() for x in total]}, schema=schema)
 
     def sketch(batches):
-        items_, idf_, omega_ = held.value
-        return added(_sketch(items_, idf_, omega_, *code(b["t"].to_pylist(), items_.vocab)) for b in batches)
+        vocab, idf_ = held.value
+        omega = np.random.default_rng(SEED).standard_normal((len(idf_), SKETCH), np.float32)  # the same in every task
+        return added(_sketch(len(idf_), idf_, omega, *code(b["t"].to_pylist(), vocab)) for b in batches)
 
     def add(batches):
         return added((b["w"].to_numpy(), np.stack([np.frombuffer(y, np.float32) for y in b["y"].to_pylist()])) for b in batches if b.num_rows)
 
     parts = sample.select(F.col(text).alias("t")).where("t is not null").mapInArrow(sketch, "w long, y binary")
-    y = np.zeros((len(idf), size))
-    for r in parts.repartition(4, "w").mapInArrow(add, "w long, y binary").collect():  # one row per word of the block that the sample holds
-        y[r.w] = np.frombuffer(r.y, np.float32)
-    own = np.zeros_like(y)
-    w, rows = _sketch(items, idf, omega, np.concatenate([c for _, c in items.passages]), np.array([len(c) for _, c in items.passages]))
-    own[w] = rows
-    # the items' own part weighs as much as the corpus', so that the basis keeps what tells items apart
-    y = y / max(np.linalg.norm(y), 1e-9) + own / max(np.linalg.norm(own), 1e-9)
-    q, _ = np.linalg.qr(y)
-    low = np.stack([(idf[c, None] * q[c]).sum(axis=0) for _, c in items.passages])  # A q, without ever writing A out
-    _, vectors = np.linalg.eigh(low.T @ low)  # its right singular vectors, the greatest last
-    return Basis(items, idf, q @ vectors[:, ::-1][:, :RANK])
-
-
-def _checked(documents: DataFrame, eval_items: DataFrame, key: str, text: str, full: bool, block_words: int) -> DataFrame:
-    """Candidates of every block of items with their checks."""
+    corpus = np.zeros((len(idf), SKETCH), np.float32)
+    for r in parts.repartition(4, "w").mapInArrow(add, "w long, y binary").collect():  # one row per word of the group that the sample holds
+        corpus[r.w] = np.frombuffer(r.y, np.float32)
+    held.unpersist()
+    return Group(items, [_basis(items.passages[k : k + BLOCK_PASSAGES], idf, corpus) for k in range(0, len(items.passages), BLOCK_PASSAGES)])
+
+
+def _checked(documents: DataFrame, eval_items: DataFrame, key: str, text: str, full: bool, group_words: int) -> DataFrame:
+    """Candidates of every group of items with their checks."""
     spark = documents.sparkSession
     schema = f"doc_id {dict(documents.dtypes)[key]}, item_id long, run_words int, lcs_words int, item_words int, answered boolean"
-    bases = (fit(documents, items, key, text) for items in item_blocks(eval_items, block_words))
-    found = [_search(documents, spark.sparkContext.broadcast(b), schema, key, text, full) for b in bases if b is not None]
+    groups = (fit(documents, items, key, text) for items in item_groups(eval_items, group_words))
+    found = [_search(documents, spark.sparkContext.broadcast(g), schema, key, text, full) for g in groups if g is not None]
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
 
 
@@ -303,7 +342,7 @@ def _search(documents: DataFrame, held, schema: str, key: str, text: str, full:
         m = held.value
         coded, n = code(b["t"].to_pylist(), m.items.vocab)
         best: dict[tuple[int, int], list[int]] = {}
-        for t, s, e, i in candidates(coded, n, m):
+        for t, s, e, i in (x for basis in m.bases for x in candidates(basis.code(coded, len(m.items.vocab)), n, basis)):
             w = coded[s:e].tolist()
             if full:
                 c, places = m.items.coded[i], m.items.places[i]
@@ -324,11 +363,11 @@ def _search(documents: DataFrame, held, schema: str, key: str, text: str, full:
     return arrow_map(documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null and k is not null"), run, schema, rows=200)
 
 
-def p9_found(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def p9_found(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", text: str = "text", group_words: int = GROUP_WORDS) -> DataFrame:
     """(doc_id, item_id) of documents and items that share at least ``RUN`` consecutive words."""
-    return _checked(documents, eval_items, key, text, False, block_words).select("doc_id", "item_id").distinct()
+    return _checked(documents, eval_items, key, text, False, group_words).select("doc_id", "item_id").distinct()
 
 
-def p9_report(documents: DataFrame, eval_items: DataFrame, least: int = 10, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def p9_report(documents: DataFrame, eval_items: DataFrame, least: int = 10, key: str = "doc_id", text: str = "text", group_words: int = GROUP_WORDS) -> DataFrame:
     """Every candidate whose longest common subsequence within a passage has at least ``least`` words, paraphrases included."""
-    return _checked(documents, eval_items, key, text, True, block_words).where(F.col("lcs_words") >= least).distinct()
+    return _checked(documents, eval_items, key, text, True, group_words).where(F.col("lcs_words") >= least).distinct()
