@@ -1,9 +1,10 @@
 """Written instants in many forms and zones -> one UTC instant (problem 2).
 
-Each value is reduced to a *shape mask*: words become the mark of their class (month, am/pm, zone, connector),
-every digit becomes ``9``. A distinct mask is compiled to a slot layout once per worker; all values of a mask are
-then converted together with numpy, and wall clock times go through per-zone transition tables built from the
-installed tz database (the version is part of the table).
+A value's *shape mask* is the value with each digit replaced by ``9`` and white space collapsed; masks are made for a whole
+batch by Arrow kernels. Each distinct mask is tokenised once (words become the mark of their class: month, am/pm, zone,
+connector) and mapped to a parser: the places of year, month, day and so on among its digits. All values of a mask
+are then converted together with numpy, from their digits alone. Wall clock times go through tables of zone transitions
+read from the tz database's own files, with the rule at their end for all later years; ``p2_zones`` reports the version.
 
 Defined results: null, blank or unreadable values, values without a time of day, wall clock times that occur twice or
 never in their zone, and zoneless values without a known zone give null. Day/month order follows the locale;
@@ -12,13 +13,15 @@ where no locale is known, only an order-free reading counts. Columns of the inpu
 
 from __future__ import annotations
 
-import datetime as dt
+import os
 import re
+import struct
 import zoneinfo
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,7 @@ MONTHS = [
     "november nov novembro novembre noviembre ноября ноябрь ноя",
     "december dec dezember dez dezembro décembre déc dicembre dic diciembre декабря декабрь дек",
 ]
+_MONTH_MARK = "abcdefghijkl"
 MONTH = {w: m for m, ws in enumerate(MONTHS, 1) for w in ws.split()}
 WEEKDAY = set("mon tue wed thu fri sat sun monday tuesday wednesday thursday friday saturday sunday mo di mi do fr sa so lun mar mer jeu ven sam dim".split())
 CONNECTOR = set("de del at à às a ore uhr um le el kl в г года den il alle las".split())
@@ -54,43 +58,136 @@ MONTH_FIRST = {"en-US"}
 
 _WORD = re.compile(r"[^\W\d_]+")
 _AMPM = re.compile(r"(?i)(?<![^\W\d_])([ap])\.?\s?m\.?(?![^\W\d_])")
-_EPOCH = dt.datetime(1970, 1, 1)
+#: The calendar repeats after so many years and days; rules are written out for one such cycle.
+CYCLE_YEARS, CYCLE = 400, 146_097 * 86_400
+
+
+def _zone_file(zone: str) -> bytes:
+    """The tz database's file of a zone: of the system, else of the ``tzdata`` package."""
+    if not re.fullmatch(r"[A-Za-z0-9_+-]+(?:/[A-Za-z0-9_+-]+)*", zone):
+        raise ValueError(zone)
+    for folder in zoneinfo.TZPATH:
+        path = os.path.join(folder, *zone.split("/"))
+        if os.path.isfile(path):
+            with open(path, "rb") as f:
+                return f.read()
+    from importlib import resources
+
+    return resources.files("tzdata").joinpath("zoneinfo", *zone.split("/")).read_bytes()
+
+
+@lru_cache(maxsize=1)
+def tz_version() -> str:
+    """Version of the tz database the tables are made from."""
+    for folder in zoneinfo.TZPATH:
+        for name, pattern in (("+VERSION", r"(\d{4}[a-z]+)"), ("tzdata.zi", r"version (\S+)")):
+            path = os.path.join(folder, name)
+            if os.path.isfile(path):
+                with open(path) as f:
+                    if m := re.search(pattern, f.readline()):
+                        return m.group(1)
+        if os.path.isdir(folder):
+            return "system"
+    import tzdata
+
+    return tzdata.IANA_VERSION
+
+
+def _zone_data(raw: bytes):
+    """(transition times, offset after each, offset before the first, abbreviation of each offset, trailing rule) of a file in TZif form."""
+    size = struct.Struct(">4sc15x6l")
+    magic, version, *n = size.unpack_from(raw)
+    if magic != b"TZif":
+        raise ValueError("no tz file")
+    at, wide = size.size, 4
+    if version >= b"2":  # the second block holds the same with 64-bit times
+        utc, std, leap, times, types, chars = n
+        at += times * 5 + types * 6 + chars + leap * 8 + std + utc
+        _, _, *n = size.unpack_from(raw, at)
+        at, wide = at + size.size, 8
+    utc, std, leap, times, types, chars = n
+    when = np.frombuffer(raw, ">i8" if wide == 8 else ">i4", times, at).astype(np.int64)
+    index = np.frombuffer(raw, np.uint8, times, at + times * wide)
+    at += times * (wide + 1)
+    kinds = [struct.unpack_from(">lBB", raw, at + 6 * k) for k in range(types)]
+    names = raw[at + 6 * types : at + 6 * types + chars]
+    end = at + 6 * types + chars + leap * (wide + 4) + std + utc
+    rule = raw[end:].strip(b"\n").decode() if wide == 8 else ""
+    offsets = np.array([k[0] for k in kinds], np.int64)
+    # abbreviations in use since 1970, of several meanings the latest
+    since = max(0, int(np.searchsorted(when, 0, "right")) - 1)
+    abbr = {names[k[2] : names.index(b"\0", k[2])].decode(): k[0] for k in ([kinds[i] for i in index[since:].tolist()] or kinds[:1])}
+    return when, offsets[index], int(offsets[0]), abbr, rule
+
+
+_RULE = re.compile(r"(<[^>]+>|[A-Za-z]{3,})([+-]?[\d:]+)(?:(<[^>]+>|[A-Za-z]{3,})([+-]?[\d:]+)?,([^,/]+)(?:/([+-]?[\d:]+))?,([^,/]+)(?:/([+-]?[\d:]+))?)?$")
+
+
+def _seconds(text: str) -> int:
+    sign = -1 if text.startswith("-") else 1
+    h, m, s, *_ = [int(x) for x in text.lstrip("+-").split(":")] + [0, 0]
+    return sign * (h * 3600 + m * 60 + s)
+
+
+def _rule_days(rule: str, years: np.ndarray) -> np.ndarray:
+    """Days since 1970 on which a rule such as ``M3.2.0``, ``J60`` or ``59`` falls in each year."""
+    start = (np.char.zfill(years.astype(str), 4)).astype("datetime64[Y]").astype("datetime64[D]").astype(np.int64)
+    leap = (years % 4 == 0) & ((years % 100 != 0) | (years % 400 == 0))
+    if rule.startswith("J"):
+        n = int(rule[1:])
+        return start + n - 1 + (leap & (n > 59))
+    if not rule.startswith("M"):
+        return start + int(rule)
+    month, week, weekday = map(int, rule[1:].split("."))
+    before = np.array([0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334])[month - 1] + (leap & (month > 2))
+    length = np.array([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[month - 1] + (leap & (month == 2))
+    first = start + before
+    day = (weekday - (first + 4) % 7) % 7 + 7 * (week - 1)  # 1970-01-01 was a Thursday
+    return first + np.where(day >= length, day - 7, day)
 
 
 class ZoneTable:
-    """Transitions of one zone between 1970 and 2100 and the abbreviations it uses, from tz database ``version``."""
+    """Transitions of one zone and the abbreviations it uses, from tz database ``version``.
+
+    Before the first transition the zone's first offset holds; after the last one the trailing rule, written out for
+    one cycle of the calendar, into which later times are mapped.
+    """
 
     def __init__(self, zone: str):
-        try:
-            import tzdata
-
-            self.version = tzdata.IANA_VERSION
-        except ImportError:
-            self.version = "system"
-        z = zoneinfo.ZoneInfo(zone)
-        off = lambda t: int(dt.datetime.fromtimestamp(t, z).utcoffset().total_seconds())
-        at, offs, t, week = [], [off(0)], 0, 7 * 86400
-        end = int((dt.datetime(2100, 1, 1) - _EPOCH).total_seconds())
-        self.abbr: dict[str, int] = {}
-        while t < end:
-            lo, hi = t, min(t + week, end)
-            if off(hi) != offs[-1]:
-                a, b = lo, hi
-                while b - a > 1:
-                    m = (a + b) // 2
-                    a, b = (m, b) if off(m) == offs[-1] else (a, m)
-                at.append(b)
-                offs.append(off(b))
-            d = dt.datetime.fromtimestamp(hi, z)
-            name = d.tzname()
-            if name and name.isalpha():
-                self.abbr[name] = int(d.utcoffset().total_seconds())
-            t = hi
-        self.at = np.array(at, np.int64)
-        self.offsets = np.array(offs, np.int64)
+        self.version = tz_version()
+        at, after, before, abbr, rule = _zone_data(_zone_file(zone))
+        self.cyclic = False
+        self.abbr = {k: v for k, v in abbr.items() if k.isalpha() and k != "LMT"}
+        m = _RULE.match(rule)
+        if m:
+            std, std_off, dst, dst_off, *_ = m.groups()
+            standard = -_seconds(std_off)
+            if std.isalpha():
+                self.abbr[std] = standard
+            if dst:
+                summer = -_seconds(dst_off) if dst_off else standard + 3600
+                if dst.isalpha():
+                    self.abbr[dst] = summer
+                first = 1970 if not len(at) else int(at[-1].astype("datetime64[s]").astype("datetime64[Y]").astype(int)) + 1970
+                years = np.arange(first, first + 2 * CYCLE_YEARS + 2)
+                on = _rule_days(m.group(5), years) * 86_400 + _seconds(m.group(6) or "2") - standard
+                off = _rule_days(m.group(7), years) * 86_400 + _seconds(m.group(8) or "2") - summer
+                more = np.concatenate([on, off])
+                offs = np.repeat([summer, standard], len(years))
+                order = np.argsort(more, kind="stable")
+                more, offs = more[order], offs[order]
+                self.cyclic = True
+                late = more > at[-1] if len(at) else np.ones(len(more), bool)
+                at, after = np.concatenate([at, more[late]]), np.concatenate([after, offs[late]])
+        self.at = at
+        self.offsets = np.concatenate([[before], after]).astype(np.int64)
+        #: Up to here the table is complete, and the cycle before holds the rule alone.
+        self.last = int(at[-1]) - 2 * 366 * 86_400 if self.cyclic else 0
 
     def to_utc(self, wall: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Seconds of UTC for wall clock seconds; whether exactly one instant has that wall clock time."""
+        back = np.maximum(0, -(-(wall - self.last) // CYCLE)) * CYCLE if self.cyclic else np.zeros(len(wall), np.int64)
+        wall = wall - back
         n, found, out = np.zeros(len(wall), np.int64), np.zeros(len(wall), np.int64), np.zeros(len(wall), np.int64)
         k = np.searchsorted(self.at, wall, "right")
         for d in (-1, 0, 1):
@@ -100,22 +197,22 @@ class ZoneTable:
             out = np.where(fits & (found == 0), utc, out)
             found += fits
             n += fits
-        return out, n == 1
+        return out + back, n == 1
 
 
 @lru_cache(maxsize=1024)
 def zone_table(zone: str) -> ZoneTable | None:
     try:
         return ZoneTable(zone)
-    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
+    except (ModuleNotFoundError, ValueError, OSError, struct.error):
         return None
 
 
-def canonical(value: str) -> tuple[str, str, int]:
-    """The value with words replaced by class marks; the zone abbreviation; am/pm (0 none, 1 am, 2 pm)."""
+def template(mask: str) -> tuple[str, str, int]:
+    """The mask with words replaced by class marks (months by ``Ma`` to ``Ml``); the zone abbreviation; am/pm (0 none, 1 am, 2 pm)."""
     half, zone = 0, ""
-    s = value.strip()
-    if not s or len(s) > 80:
+    s = mask.strip()
+    if not s:
         return "", "", 0
     m = _AMPM.search(s)
     if m:
@@ -129,7 +226,7 @@ def canonical(value: str) -> tuple[str, str, int]:
         if low in MONTH:
             before = s[: w.start()].rstrip()
             if not (low == "mar" and s[w.end() : w.end() + 1] == "," and not before):
-                return f"M{MONTH[low]:02d}"
+                return "M" + _MONTH_MARK[MONTH[low] - 1]
         if low in WEEKDAY and not s[: w.start()].strip():
             return "\x01"
         if low in CONNECTOR:
@@ -152,11 +249,11 @@ def canonical(value: str) -> tuple[str, str, int]:
     s = _WORD.sub(word, re.sub("([年月日])", r" \1 ", s) if "年" in s else s)
     if "\x03" in s:
         return "", "", 0
-    s = re.sub(r"\s*-\s+|\s+-\s*(?=\d{1,2}\s+-)", "-", s) if "年" in value else s
+    s = re.sub(r"\s*-\s+|\s+-\s*(?=\d{1,2}\s+-)", "-", s) if "年" in mask else s
     s = re.sub(r"[\x01\s]+(?:[,.][\x01\s]*)?", " ", s.replace("\x01.", " ")).strip().lstrip(",").strip()
     s = re.sub(r",\s*", " ", s)
     s = re.sub(r"(\d)\.\s+(?=M)", r"\1 ", s)
-    s = re.sub(r"(M\d\d)\.", r"\1", s)
+    s = re.sub(r"(M[a-l])\.", r"\1", s)
     s = re.sub(r"\s*\x02$", "\x02", s)
     return re.sub(r"\s+", " ", s), zone, half
 
@@ -167,25 +264,38 @@ _LAYOUTS = [
     (re.compile(rf"^(?P<y>9999)[-/](?P<m>9{{1,2}})[-/](?P<d>9{{1,2}})[T ]{_TIME}{_ZONE}$"), "ymd"),
     (re.compile(r"^(?P<y>9999)(?P<m>99)(?P<d>99)T(?P<h>99)(?P<mi>99)(?P<s>99)" + _ZONE + "$"), "ymd"),
     (re.compile(rf"^(?P<a>9{{1,2}})(?P<sep>[/.-])(?P<b>9{{1,2}})(?P=sep)(?P<y>9999) {_TIME}{_ZONE}$"), "num"),
-    (re.compile(rf"^(?P<d>9{{1,2}}) M(?P<m>99) (?P<y>9999) {_TIME}{_ZONE}$"), "ymd"),
-    (re.compile(rf"^M(?P<m>99) (?P<d>9{{1,2}}) (?P<y>9999) {_TIME}{_ZONE}$"), "ymd"),
+    (re.compile(rf"^(?P<d>9{{1,2}}) M(?P<w>[a-l]) (?P<y>9999) {_TIME}{_ZONE}$"), "ymd"),
+    (re.compile(rf"^M(?P<w>[a-l]) (?P<d>9{{1,2}}) (?P<y>9999) {_TIME}{_ZONE}$"), "ymd"),
     (re.compile(r"^(?P<e>9{9,10})(?:\.(?P<f>9{1,12}))?$"), "s"),
     (re.compile(r"^(?P<e>9{13})$"), "ms"),
     (re.compile(r"^(?P<e>9{16})$"), "us"),
 ]
-_DIGIT = re.compile(r"\d")
 
 
-@lru_cache(maxsize=20_000)
-def layout(mask: str):
-    """Slots of a mask, or None where no written form fits it. ``+`` and ``-`` of an offset belong to the mask."""
+def layout(form: str) -> tuple[str, dict[str, tuple[int, int]], dict[str, str]] | None:
+    """(kind, places of the slots among the digits, slots that are no digits) of a template; None where no written form fits it."""
     for pattern, kind in _LAYOUTS:
-        m = pattern.match(mask)
+        m = pattern.match(form)
         if m:
-            return kind, {k: m.span(k) for k, v in m.groupdict().items() if v is not None}
+            got = {k: (v, m.span(k)) for k, v in m.groupdict().items() if v is not None}
+            nth = lambda i: form.count("9", 0, i)
+            digits = {k: (nth(a), nth(b)) for k, (v, (a, b)) in got.items() if v.strip("9") == ""}
+            return kind, digits, {k: v for k, (v, _) in got.items() if v.strip("9")}
     return None
 
 
+@lru_cache(maxsize=50_000)
+def _parser(mask: str):
+    form, zone, half = template(mask)
+    known = layout(form) if form else None
+    return None if known is None else (*known, zone, half)
+
+
+def parser(mask: str):
+    """What reads a mask: (kind, places, other slots, zone abbreviation, am/pm), or None. Only masks that may come again are remembered."""
+    return _parser(mask) if len(mask) <= 100 else _parser.__wrapped__(mask)
+
+
 def _days(y, m, d):
     """Days since 1970 of proleptic Gregorian dates; whether the date exists."""
     leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
@@ -197,89 +307,92 @@ def _days(y, m, d):
 
 
 def normalise(values, zones, locales) -> tuple[np.ndarray, np.ndarray]:
-    """Microseconds of UTC and validity for lists of text, zone name and locale (None where unknown)."""
+    """Microseconds of UTC and validity for text, zone name and locale (lists or Arrow arrays; None where unknown)."""
+    values = pc.cast(values if isinstance(values, pa.Array) else pa.array(values, pa.string()), pa.string())
     n = len(values)
     out, good = np.zeros(n, np.int64), np.zeros(n, bool)
-    groups: dict[tuple, list[int]] = {}
-    canon: list[str] = [""] * n
-    for i, v in enumerate(values):
-        if v is None:
-            continue
-        c, abbr, half = canonical(v)
-        if c:
-            canon[i] = c
-            mask = _DIGIT.sub("9", c)
-            groups.setdefault((mask, abbr, half, zones[i], locales[i] in MONTH_FIRST if locales[i] else None), []).append(i)
-    for (mask, abbr, half, zone, month_first), rows in groups.items():
-        known = layout(mask)
+    if not n:
+        return out, good
+    masks = pc.replace_substring_regex(pc.replace_substring_regex(values, r"[0-9]", "9"), r"[\pZ\t\n\v\f\r\x{1c}-\x{1f}\x{85}]+", " ").dictionary_encode()
+    digits = pc.replace_substring_regex(values, r"[^0-9]+", "")
+    zones, locales = ((x if isinstance(x, pa.Array) else pa.array(x, pa.string())).dictionary_encode() for x in (zones, locales))
+    code = [pc.fill_null(x.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (masks, zones, locales)]
+    key = (code[0] * (len(zones.dictionary) + 1) + code[1] + 1) * (len(locales.dictionary) + 1) + code[2] + 1
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1, append=key[order[-1]] + 1))
+    for a, b in zip(edges, edges[1:]):
+        rows = order[a:b]
+        mask = code[0][rows[0]]
+        known = parser(masks.dictionary[int(mask)].as_py()) if mask >= 0 else None
         if known is None:
             continue
-        kind, span = known
-        idx = np.array(rows)
-        text = np.array([canon[i] for i in rows])
+        zone, locale = (d.dictionary[int(c[rows[0]])].as_py() if c[rows[0]] >= 0 else None for d, c in ((zones, code[1]), (locales, code[2])))
+        text = np.array(digits.take(pa.array(rows)).to_pylist(), dtype=np.str_)
         width = text.dtype.itemsize // 4
-        chars = text.view(np.uint32).reshape(len(rows), width).astype(np.int64)
-
-        def number(k, default=0):
-            if k not in span:
-                return np.full(len(rows), default, np.int64)
-            a, b = span[k]
-            return (chars[:, a:b] - 48) @ (10 ** np.arange(b - a - 1, -1, -1, dtype=np.int64))
-
-        if "f" in span:
-            a, b = span["f"]
-            span_f = chars[:, a : min(b, a + 6)] - 48
-            micro = span_f @ (10 ** np.arange(5, 5 - span_f.shape[1], -1, dtype=np.int64))
+        utc, ok = _convert(*known, text.view(np.uint32).reshape(len(rows), width).astype(np.int64) - 48, zone, locale in MONTH_FIRST if locale else None)
+        out[rows], good[rows] = utc, ok
+    return out, good
+
+
+def _convert(kind: str, place: dict, other: dict, abbr: str, half: int, d: np.ndarray, zone: str | None, month_first: bool | None):
+    """Microseconds of UTC and validity of values of one mask, from their digits ``d`` [values, digits]."""
+    n = len(d)
+    none = np.zeros(n, np.int64), np.zeros(n, bool)
+
+    def number(k, default=0):
+        if k not in place:
+            return np.full(n, default, np.int64)
+        a, b = place[k]
+        return d[:, a:b] @ (10 ** np.arange(b - a - 1, -1, -1, dtype=np.int64))
+
+    micro = np.zeros(n, np.int64)
+    if "f" in place:
+        a, b = place["f"]
+        part = d[:, a : min(b, a + 6)]
+        micro = part @ (10 ** np.arange(5, 5 - part.shape[1], -1, dtype=np.int64))
+    if kind in ("s", "ms", "us"):
+        return number("e") * {"s": 1_000_000, "ms": 1000, "us": 1}[kind] + micro, np.ones(n, bool)
+    y, m, day, h, mi, s = (number(k) for k in ("y", "m", "d", "h", "mi", "s"))
+    if "w" in other:
+        m = np.full(n, _MONTH_MARK.index(other["w"]) + 1, np.int64)
+    ok = np.ones(n, bool)
+    if kind == "num":
+        a, b = number("a"), number("b")
+        dotted = other["sep"] != "/"
+        if month_first is None and not dotted:
+            ok = (a > 12) ^ (b > 12) | (a == b)
+            m, day = np.where(a > 12, b, a), np.where(a > 12, a, b)
         else:
-            micro = np.zeros(len(rows), np.int64)
-        if kind in ("s", "ms", "us"):
-            e = number("e")
-            out[idx] = e * {"s": 1_000_000, "ms": 1000, "us": 1}[kind] + micro
-            good[idx] = True
-            continue
-        y, m, d, h, mi, s = (number(k) for k in ("y", "m", "d", "h", "mi", "s"))
-        ok = np.ones(len(rows), bool)
-        if kind == "num":
-            a, b = number("a"), number("b")
-            dotted = mask[span["sep"][0]] != "/"
-            if month_first is None and not dotted:
-                ok = (a > 12) ^ (b > 12) | (a == b)
-                m, d = np.where(a > 12, b, a), np.where(a > 12, a, b)
-            else:
-                m, d = (a, b) if month_first and not dotted else (b, a)
-        if half:
-            ok &= (h >= 1) & (h <= 12)
-            h = h % 12 + 12 * (half == 2)
-        ok &= (h < 24) & (mi < 60) & (s < 60)
-        days, real = _days(y, m, d)
-        wall = days * 86400 + h * 3600 + mi * 60 + s
-        ok &= real
-        if "z" in span:
-            z = mask[span["z"][0] : span["z"][1]].strip()
-            if z == "Z":
-                utc = wall
-            elif z == "\x02":
-                t = zone_table(zone) if zone else None
-                if t is not None and abbr in t.abbr:
-                    utc = wall - t.abbr[abbr]
-                elif abbr in ABBREVIATION:
-                    utc = wall - ABBREVIATION[abbr] * 60
-                else:
-                    continue
-            else:
-                zh, zm = number("zh"), number("zm")
-                sign = -1 if mask[span["sg"][0]] == "-" else 1
-                ok &= (zh <= 18) & (zm < 60)
-                utc = wall - sign * (zh * 3600 + zm * 60)
+            m, day = (a, b) if month_first and not dotted else (b, a)
+    if half:
+        ok &= (h >= 1) & (h <= 12)
+        h = h % 12 + 12 * (half == 2)
+    ok &= (h < 24) & (mi < 60) & (s < 60)
+    days, real = _days(y, m, day)
+    ok &= real
+    wall = days * 86400 + h * 3600 + mi * 60 + s
+    z = other.get("z", "").strip()
+    if z == "Z":
+        utc = wall
+    elif z == "\x02":
+        t = zone_table(zone) if zone else None
+        if t is not None and abbr in t.abbr:
+            utc = wall - t.abbr[abbr]
+        elif abbr in ABBREVIATION:
+            utc = wall - ABBREVIATION[abbr] * 60
         else:
-            t = zone_table(zone) if zone else None
-            if t is None:
-                continue
-            utc, one = t.to_utc(wall)
-            ok &= one
-        out[idx] = utc * 1_000_000 + micro
-        good[idx] = ok
-    return out, good
+            return none
+    elif z:
+        zh, zm = number("zh"), number("zm")
+        ok &= (zh <= 18) & (zm < 60)
+        utc = wall - (-1 if other["sg"] == "-" else 1) * (zh * 3600 + zm * 60)
+    else:
+        t = zone_table(zone) if zone else None
+        if t is None:
+            return none
+        utc, one = t.to_utc(wall)
+        ok &= one
+    return utc * 1_000_000 + micro, ok
 
 
 DONE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
@@ -292,7 +405,7 @@ def utc_text(df: DataFrame, keep: list[str], value: str = "value", zone: str = "
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", utc_text string"
 
     def run(b: pa.RecordBatch):
-        us, ok = normalise(b["__v"].to_pylist(), b["__z"].to_pylist(), b["__l"].to_pylist())
+        us, ok = normalise(b["__v"], b["__z"], b["__l"])
         text = np.datetime_as_string(us.astype("datetime64[us]"), unit="us")
         take = pa.array(np.flatnonzero(ok))
         return {c: b[c].take(take) for c in keep} | {"utc_text": pa.array([t + "Z" for t in text[ok]], pa.string())}
@@ -326,3 +439,18 @@ def p2_found(articles: DataFrame, source_clocks: DataFrame, collector_clocks: Da
 def p2_utc(articles: DataFrame, source_clocks: DataFrame, collector_clocks: DataFrame) -> DataFrame:
     """Every readable value of every row as UTC text, those already in normal form included."""
     return utc_text(written_instants(articles, source_clocks, collector_clocks), ["id", "field_name"])
+
+
+def p2_zones(source_clocks: DataFrame, collector_clocks: DataFrame) -> DataFrame:
+    """(zone_name, tz_version, n_transitions, first_year, last_year) of every zone in use; nulls for names the database doesn't know."""
+    names = source_clocks.select("zone_name").union(collector_clocks.select("zone_name")).where("zone_name is not null").distinct()
+
+    def run(b: pa.RecordBatch):
+        t = [zone_table(z) for z in b["zone_name"].to_pylist()]
+        year = lambda x, k: int(x.at[k].astype("datetime64[s]").astype("datetime64[Y]").astype(int)) + 1970 if x and len(x.at) else None
+        return {
+            "zone_name": b["zone_name"], "tz_version": [x and x.version for x in t], "n_transitions": [x and len(x.at) for x in t],
+            "first_year": [year(x, 0) for x in t], "last_year": [year(x, -1) for x in t],
+        }
+
+    return arrow_map(names, run, "zone_name string, tz_version string, n_transitions long, first_year int, last_year int")
