@@ -7,11 +7,20 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Cut incoming batches into pieces of at most ``rows`` rows: bounds what a worker holds at once."""
+#: Bytes of input a worker takes at once, if they are more than one row.
+SLICE_BYTES = 16 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut incoming batches into pieces of at most ``rows`` rows and about ``most`` bytes: bounds what a worker holds at once."""
     for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
+        step = max(1, min(rows, int(b.num_rows * most / max(1, b.nbytes))))
+        for k in range(0, b.num_rows, step):
+            piece = b.slice(k, step)
+            if piece.num_rows > 1 and piece.nbytes > 2 * most:  # long rows side by side
+                yield from slices([piece], max(1, step // 2), most)
+            else:
+                yield piece
 
 
 def arrow_map(df, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 500):

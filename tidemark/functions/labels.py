@@ -10,16 +10,40 @@ def user_turn(title: Column, content: Column, max_chars: int) -> Column:
     from tidemark.functions.text import truncated, unicode_trim
 
     body = F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(content, F.lit("")))
-    return truncated(unicode_trim(body), max_chars)
+    return F.concat(F.lit("### Article:\n"), truncated(unicode_trim(body), max_chars))
 
 
 def label_block(labels: list[str]) -> Column:
-    """One ``name:`` / ``label: true`` pair of lines per label; missing labels read false."""
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{c}:\n  label: "), F.when(F.coalesce(F.col(c), F.lit(False)), "true").otherwise("false")) for c in labels])
+    """A fenced block with one ``name:`` / ``label: true`` pair of lines per label; missing labels read false."""
+    pairs = F.concat_ws("\n", *[F.concat(F.lit(f"{c}:\n  label: "), F.when(F.coalesce(F.col(c), F.lit(False)), "true").otherwise("false")) for c in labels])
+    return F.concat(F.lit("```yaml\n"), pairs, F.lit("\n```"))
 
 
 def assistant_turn(reasoning: Column, labels: list[str]) -> Column:
-    return F.concat(F.lit("<think>\n"), F.coalesce(reasoning, F.lit("")), F.lit("\n</think>\n"), label_block(labels))
+    from tidemark.functions.text import unicode_trim
+
+    return F.concat(F.lit("<think>\n"), unicode_trim(F.coalesce(reasoning, F.lit(""))), F.lit("\n</think>\n\n"), label_block(labels))
+
+
+def combo_of_text(text: Column, labels: list[str]) -> Column:
+    """Key such as ``T-F-F-T`` of the labels an assistant's text states as true."""
+    return F.concat_ws("-", *[F.when(F.coalesce(text.contains(f"{c}:\n  label: true"), F.lit(False)), "T").otherwise("F") for c in labels])
+
+
+def structured(pred: Column, labels: list[str]) -> list[Column]:
+    """Columns of a structured answer (JSON text): missing labels and answers that don't parse give null."""
+    got = F.from_json(pred, "struct<" + ",".join(f"{c}:boolean" for c in labels) + ">")
+    return [got[c].alias(c) for c in labels]
+
+
+def nested(text: Column, path: str, default: str = "") -> Column:
+    """Value at a path (``a.b``) of JSON text, the default where any step is missing or null."""
+    return F.coalesce(F.get_json_object(text, "$." + path), F.lit(default))
+
+
+def utc_now(at: Column | None = None) -> Column:
+    """Current UTC time as text; ``at`` fixes it, for runs that must come out the same."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()) if at is None else at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def messages(system: str, user: Column, assistant: Column) -> Column:

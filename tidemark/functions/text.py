@@ -7,9 +7,19 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 #: A word character: letters, numbers and the underscore (marks don't count).
 W = r"[\p{L}\p{N}_]"
 CJK = ["zho", "jpn", "tha", "kor"]
+# Names of languages and their ISO 639-3 codes.
+LANGUAGE_CODES = {
+    "Albanian": "sqi", "Arabic": "ara", "Bengali": "ben", "Bulgarian": "bul", "Chinese": "zho", "Croatian": "hrv", "Czech": "ces", "Danish": "dan",
+    "Dhivehi": "div", "Dutch": "nld", "English": "eng", "Finnish": "fin", "French": "fra", "Ganda": "lug", "German": "deu", "Greek": "ell", "Hebrew": "heb",
+    "Hungarian": "hun", "Indonesian": "ind", "Irish": "gle", "Italian": "ita", "Japanese": "jpn", "Korean": "kor", "Malay": "msa", "Malayalam": "mal",
+    "Norwegian": "nob", "Persian": "fas", "Polish": "pol", "Portuguese": "por", "Romanian": "ron", "Russian": "rus", "Serbian": "srp", "Slovak": "slk",
+    "Spanish": "spa", "Swahili": "swa", "Swedish": "swe", "Thai": "tha", "Turkish": "tur", "Ukrainian": "ukr", "Urdu": "urd", "Vietnamese": "vie",
+}
 K1, B = 1.5, 0.75
 
 
@@ -35,10 +45,15 @@ def full_text(title: Column, content: Column, sep: str = " ") -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(sep), F.coalesce(content, F.lit("")))
 
 
+def language_code(name: Column, default: str = "") -> Column:
+    """ISO 639-3 code of a language's English name; the default for other names and null."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGE_CODES.items() for x in kv]), name), F.lit(default))
+
+
 def keyword_match(text: Column, lang: Column, terms: dict[str, list[str]], fallback: str = "eng") -> Column:
     """Whether any term of the row's language occurs; languages without spaces match substrings, unknown ones the fallback's terms.
 
-    One literal pattern per language, compiled once per task.
+    ``terms`` holds the united lists of ``keywords.with_english``. One literal pattern per language, compiled once per task.
     """
     out = F.lit(False)
     for code, ts in [(c, t) for c, t in terms.items() if t]:
@@ -93,24 +108,35 @@ def hits(docs: DataFrame, terms: dict[str, dict[str, list[str]]], key: str, text
     return docs.where(F.col(lang).isin(langs)).select(key, lang, doc_length(F.col(text), F.col(lang)).cast("long").alias("dl"), *[c.alias(k) for k, c in cols.items()])
 
 
+def topic_terms(topic: str) -> Column:
+    """array<struct<topic, term>> of the hits of one topic."""
+    return F.transform(topic, lambda h: F.struct(F.lit(topic).alias("topic"), h["term"].alias("term")))
+
+
 def bm25(matched: DataFrame, key: str, lang: str, topics: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """(key, lang, bm25_<topic>..., bm25_avg): Okapi scores with statistics per language over all documents.
 
-    Two small aggregates (per language; per topic, language and term) join back; the text isn't read again.
+    The documents are matched once and kept as narrow rows without text. One aggregate counts documents, lengths and
+    terms; it comes back as one row per language (as large as the dictionary, whatever the corpus) and each row is scored in place.
     """
-    stats = matched.groupBy(lang).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    def of(topic: str) -> Column:
-        return F.transform(topic, lambda h: F.struct(F.lit(topic).alias("topic"), h["term"].alias("term"), h["tf"].alias("tf")))
-
-    long = matched.select(key, lang, "dl", F.explode(F.concat(*map(of, topics))).alias("h"))
-    long = long.select(key, lang, "dl", "h.*")
-    df = long.groupBy("topic", lang, "term").agg(F.count(F.lit(1)).alias("df"))
-    x = long.join(df, ["topic", lang, "term"]).join(stats, lang)
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl"))
-    per = x.groupBy(key).agg(*[F.sum(F.when(F.col("topic") == t, idf * F.col("tf") * (k1 + 1) / norm)).alias(f"bm25_{t}") for t in topics])
-    out = matched.select(key, lang).join(per, key, "left")
-    out = out.withColumns({f"bm25_{t}": F.coalesce(F.col(f"bm25_{t}"), F.lit(0.0)) for t in topics})
+    matched = cut_lineage(matched)
+    of = lambda t: F.transform(t, lambda h: F.struct(F.lit(t).alias("topic"), h["term"].alias("term"), F.lit(0).cast("long").alias("dl")))
+    every = F.concat(F.array(F.struct(F.lit("").alias("topic"), F.lit("").alias("term"), F.col("dl").cast("long").alias("dl"))), *map(of, topics))
+    counts = matched.select(lang, F.explode(every).alias("e")).groupBy(lang, "e.topic", "e.term").agg(F.count(F.lit(1)).alias("n"), F.sum("e.dl").alias("dl"))
+    whole = F.max(F.when(F.col("topic") == "", F.struct("n", "dl")))
+    model = counts.groupBy(lang).agg(whole.alias("__all"), F.collect_list(F.when(F.col("topic") != "", F.struct(F.concat("topic", F.lit("/"), "term").alias("k"), "n"))).alias("__df"))
+    model = model.select(F.col(lang).alias("__lang"), F.col("__all.n").alias("__n"), (F.col("__all.dl") / F.col("__all.n")).alias("__avg"), F.map_from_entries("__df").alias("__df"))
+    x = matched.join(model, F.col(lang) == F.col("__lang"), "left")  # the planner broadcasts it by its measured size
+
+    def score(topic: str) -> Column:
+        def add(s: Column, h: Column) -> Column:
+            df = F.element_at(F.col("__df"), F.concat(F.lit(f"{topic}/"), h["term"]))
+            idf = F.log((F.col("__n") - df + 0.5) / (df + 0.5) + 1.0)
+            return s + idf * h["tf"] * (k1 + 1) / (h["tf"] + k1 * (1 - b + b * F.col("dl") / F.col("__avg")))
+
+        return F.aggregate(topic, F.lit(0.0), add)
+
+    out = x.select(key, lang, *[score(t).alias(f"bm25_{t}") for t in topics])
     return out.withColumn("bm25_avg", sum((F.col(f"bm25_{t}") for t in topics), F.lit(0.0)) / len(topics))
 
 

@@ -16,6 +16,22 @@ def term_lists(keywords: DataFrame, topic: str) -> dict[str, list[str]]:
     return out
 
 
+def with_english(keywords: DataFrame, english: str = "eng") -> DataFrame:
+    """(topic, lang, pos, term): for each language the English terms, then its own, the first spelling of each term ignoring case.
+
+    English keeps its own list. Positions count from 0 in the united list. Terms that are null are left out.
+    """
+    k = keywords.where("topic is not null and lang is not null and term is not null").select("topic", "lang", "pos", "term")
+    langs = k.select("topic", "lang").distinct()
+    eng = k.where(F.col("lang") == english).select("topic", F.lit(0).alias("own"), "pos", "term").join(langs, "topic")
+    own = k.where(F.col("lang") != english).select("topic", F.lit(1).alias("own"), "pos", "term", "lang")
+    # windows over one dictionary's terms
+    first = F.row_number().over(Window.partitionBy("topic", "lang", F.lower("term")).orderBy("own", "pos"))
+    place = F.row_number().over(Window.partitionBy("topic", "lang").orderBy("own", "pos"))
+    both = eng.unionByName(own).withColumn("__r", first).where("__r = 1")
+    return both.select("topic", "lang", (place - 1).cast("int").alias("pos"), "term")
+
+
 def dedup_ignoring_case(keywords: DataFrame) -> DataFrame:
     """First spelling of each term per topic and language."""
     w = Window.partitionBy("topic", "lang", F.lower("term")).orderBy("pos")

@@ -53,20 +53,33 @@ def binary_report(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame
 
 
 def multilabel_report(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """(label, precision, recall, f1, support) per label, and micro, macro, weighted and samples averages."""
-    per = _scores(_long(df, pairs).groupBy("label").agg(_n(F.col("p") & F.col("t")).alias("tp"), _n(F.col("p") & ~F.col("t")).alias("fp"), _n(~F.col("p") & F.col("t")).alias("fn")))
-    per = per.withColumn("support", F.col("tp") + F.col("fn"))
-    micro = _scores(per.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.sum("support").alias("support"))).withColumn("label", F.lit("micro avg"))
-    macro = per.agg(F.avg("__p").alias("__p"), F.avg("__r").alias("__r"), F.avg("__f").alias("__f"), F.sum("support").alias("support")).withColumn("label", F.lit("macro avg"))
-    weighted = per.agg(*[_ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in ("__p", "__r", "__f")], F.sum("support").alias("support")).withColumn("label", F.lit("weighted avg"))
+    """(label, precision, recall, f1, support) per label, and micro, macro, weighted and samples averages: one pass of sums, then arithmetic on one row."""
     one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     both = sum((one(F.col(p) & F.col(t)) for p, t in pairs.values()), F.lit(0))
     np_, nt = sum((one(F.col(p)) for p, _ in pairs.values()), F.lit(0)), sum((one(F.col(t)) for _, t in pairs.values()), F.lit(0))
-    s = df.select(_ratio(both, np_).alias("p"), _ratio(both, nt).alias("r"), _ratio(2 * both, np_ + nt).alias("f"), nt.alias("n"))
-    samples = s.agg(F.avg("p").alias("__p"), F.avg("r").alias("__r"), F.avg("f").alias("__f"), F.sum("n").cast("long").alias("support")).withColumn("label", F.lit("samples avg"))
-    cols = ["label", "__p", "__r", "__f", "support"]
-    rows = per.select(cols).unionByName(micro.select(cols)).unionByName(macro.select(cols)).unionByName(weighted.select(cols)).unionByName(samples.select(cols))
-    return rows.select("label", F.round("__p", 5).alias("precision"), F.round("__r", 5).alias("recall"), F.round("__f", 5).alias("f1"), "support")
+    sums = []
+    for i, (p, t) in enumerate(pairs.values()):
+        p, t = F.col(p), F.col(t)
+        sums += [_n(p & t).alias(f"tp{i}"), _n(p & ~t).alias(f"fp{i}"), _n(~p & t).alias(f"fn{i}")]
+    mean = [F.coalesce(F.avg(c), F.lit(0.0)).alias(k) for k, c in (("sp", _ratio(both, np_)), ("sr", _ratio(both, nt)), ("sf", _ratio(2 * both, np_ + nt)))]
+    row = df.agg(*[F.coalesce(c, F.lit(0)).alias(f"c{k}") for k, c in enumerate(sums)], *mean, F.coalesce(F.sum(nt), F.lit(0)).cast("long").alias("sn"))
+
+    def scored(label: str, tp: Column, fp: Column, fn: Column) -> Column:
+        p, r = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
+        return F.struct(F.lit(label).alias("label"), p.alias("p"), r.alias("r"), _ratio(2 * p * r, p + r).alias("f"), (tp + fn).cast("long").alias("support"))
+
+    at = lambda i: [F.col(f"c{3 * i + k}") for k in range(3)]
+    per = [scored(label, *at(i)) for i, label in enumerate(pairs)]
+    micro = scored("micro avg", *[reduce(lambda a, b: a + b, [at(i)[k] for i in range(len(pairs))]) for k in range(3)])
+    row = row.select("*", F.array(*per).alias("per"), micro.alias("micro"))
+    fields = ("p", "r", "f")
+    total = lambda fn: F.aggregate("per", F.lit(0.0), lambda s, x: s + fn(x))
+    support = F.col("micro.support")
+    macro = F.struct(F.lit("macro avg").alias("label"), *[(total(lambda x, c=c: x[c]) / F.lit(len(pairs))).alias(c) for c in fields], support.alias("support"))
+    weighted = F.struct(F.lit("weighted avg").alias("label"), *[_ratio(total(lambda x, c=c: x[c] * x["support"]), support).alias(c) for c in fields], support.alias("support"))
+    samples = F.struct(F.lit("samples avg").alias("label"), F.col("sp").alias("p"), F.col("sr").alias("r"), F.col("sf").alias("f"), F.col("sn").alias("support"))
+    rows = row.select(F.explode(F.concat("per", F.array("micro", macro, weighted, samples))).alias("x")).select("x.*")
+    return rows.select("label", F.round("p", 5).alias("precision"), F.round("r", 5).alias("recall"), F.round("f", 5).alias("f1"), "support")
 
 
 def error_accounting(df: DataFrame, error: Column, parsed: list[str]) -> DataFrame:

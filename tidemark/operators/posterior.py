@@ -22,6 +22,23 @@ def summary(draws: DataFrame, keys: list[str], scale: float = 1.0, digits: int =
     return q.join(mad, keys).select(*keys, "n", r(F.col("q")[1]).alias("median"), r(F.col("mad")).alias("mad"), r(F.col("q")[0]).alias("eti_low"), r(F.col("q")[2]).alias("eti_high"))
 
 
+def percent_summary(draws: DataFrame, keys: list[str]) -> DataFrame:
+    """Median and 95 % interval in percent with one decimal, halves to even; rounding comes last."""
+    one = summary(draws, keys, 100.0, digits=12)
+    return one.select(*keys, "n", *[F.bround(c, 1).alias(c) for c in ("median", "eti_low", "eti_high")])
+
+
+def extremes(summary_: DataFrame, level: str, n: int = 5) -> DataFrame:
+    """(side, level, median): the n highest and the n lowest levels by median, ties by the level's name."""
+    top, low = (summary_.orderBy(o, level).limit(n).select(F.lit(k).alias("side"), level, "median") for k, o in (("top", F.desc("median")), ("bottom", F.asc("median"))))
+    return top.unionByName(low)
+
+
+def output_name(kind: str, category: str, group: str, time: str | None = None) -> str:
+    """Name of a result file, such as ``prevalence_group_health_region_yearly``."""
+    return "_".join([kind, category, group, *([time] if time else [])])
+
+
 def contrast(draws: DataFrame, level: str, a: str, b: str, keys: list[str]) -> DataFrame:
     """Draws of ``a`` minus draws of ``b``, pair by pair of chain and draw, then summarised."""
     on = [*keys, "chain", "draw"]
@@ -131,5 +148,9 @@ def diagnostics(draws: DataFrame, keys: list[str]) -> DataFrame:
     return draws.groupBy(*keys).applyInPandas(one, schema)
 
 
-def worst(diag: DataFrame) -> DataFrame:
-    return diag.agg(F.max("r_hat").alias("max_r_hat"), F.min("ess_bulk").alias("min_ess_bulk"), F.min("ess_tail").alias("min_ess_tail"))
+def worst(diag: DataFrame, draws: DataFrame | None = None) -> DataFrame:
+    """Greatest R-hat, least effective sizes and, from the sampler's draws, the number of divergent transitions."""
+    out = diag.agg(F.max("r_hat").alias("max_r_hat"), F.min("ess_bulk").alias("min_ess_bulk"), F.min("ess_tail").alias("min_ess_tail"))
+    if draws is None:
+        return out
+    return out.join(F.broadcast(draws.where("param = 'diverging'").agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long").alias("n_divergences"))))  # one row each

@@ -68,12 +68,71 @@ def require_resolved(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame
     return df
 
 
-def lookup(df: DataFrame, dimension: DataFrame, key: str, value: str, default) -> DataFrame:
-    """``df`` with ``value`` from the dimension (a later duplicate never multiplies rows), or the default."""
-    d = dimension.groupBy(key).agg(F.max(value).alias(value))
+def lookup(df: DataFrame, dimension: DataFrame, key: str, value: str, default, order: str | None = None) -> DataFrame:
+    """``df`` with ``value`` from the dimension, or the default. Of several rows of a key the last by ``order`` wins (else the greatest value)."""
+    d = last_wins(dimension, key, [order], [value]) if order else dimension.groupBy(key).agg(F.max(value).alias(value))
     return df.join(d, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
+def last_wins(df: DataFrame, key: str, order: list[str], cols: list[str] | None = None) -> DataFrame:
+    """One row per key that is present: the last by ``order`` (a line number, a time of arrival), combined before the shuffle."""
+    cols = cols or [c for c in df.columns if c != key]
+    row = F.max_by(F.struct(*cols), F.struct(*order)).alias("__row")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(row).select(key, *[F.col(f"__row.`{c}`").alias(c) for c in cols])
+
+
+def left_attributes(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """``df`` with the dimension's columns, null where it has no row. A key that stands there twice is an error in the data: its least row counts."""
+    cols = [c for c in dimension.columns if c != key and c not in df.columns]
+    one = dimension.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*cols)).alias("__row")).select(key, *[F.col(f"__row.`{c}`").alias(c) for c in cols])
+    return df.join(one, key, "left")
+
+
+def override(df: DataFrame, key: str, value, columns: dict) -> DataFrame:
+    """``df`` with several columns set where ``key`` has the value; the others keep theirs, also where the key is null."""
+    hit = F.coalesce(F.col(key) == F.lit(value), F.lit(False))
+    return df.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in columns.items()})
+
+
+def without(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` without the columns, whether or not it has them: running a step twice does no harm."""
+    return df.drop(*[c for c in columns if c in df.columns])
+
+
+def where_given(df: DataFrame, equals: dict | None = None, among: dict | None = None, ignore: dict | None = None) -> DataFrame:
+    """Optional predicates: those whose value is None (or empty) don't filter. ``ignore`` leaves out listed values and keeps nulls."""
+    for c, v in (equals or {}).items():
+        df = df if v is None else df.where(F.col(c) == F.lit(v))
+    for c, v in (among or {}).items():
+        df = df if not v else df.where(F.col(c).isin(list(v)))
+    for c, v in (ignore or {}).items():
+        df = df if not v else df.where(F.col(c).isNull() | ~F.col(c).isin(list(v)))
+    return df
+
+
+def distinct_counts(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Distinct values of each column (nulls not counted), over all rows or per key: one expansion, two exchanges."""
+    return df.groupBy(*(keys or [])).agg(*[F.countDistinct(c).alias(f"n_{c}") for c in columns])
+
+
+def require_keys(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that state all of the columns."""
+    return keyed(df, columns)
+
+
+def join_counters(left: DataFrame, right: DataFrame, key: str, required: list[str]) -> DataFrame:
+    """(n, n_used, n_no_match, n_missing): what an inner join with required columns uses and skips, in one pass.
+
+    ``right`` holds one row per key (``last_wins``).
+    """
+    flag_ = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in required], F.lit(True))
+    r = right.select(F.col(key), flag_.alias("__ok"))
+    return left.select(key).join(r, key, "left").agg(
+        F.count(F.lit(1)).alias("n"), count_true(F.col("__ok")).alias("n_used"), count_true(F.col("__ok").isNull()).alias("n_no_match"),
+        count_true(~F.col("__ok")).alias("n_missing"),
+    )
+
+
 def min_volume(df: DataFrame, key: str, least: int) -> DataFrame:
     """Rows of keys with at least ``least`` rows."""
     return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select(key), key, "left_semi")
@@ -126,8 +185,13 @@ def shares(counts: DataFrame, n: str, parts: dict[str, str]) -> DataFrame:
 
 
 def first_writer_wins(target: DataFrame, incoming: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows of ``incoming`` to append: keys the target doesn't hold, one row each (the first by ``order``)."""
+    """Rows of ``incoming`` to append: keys the target doesn't hold, one row each.
+
+    ``order`` names the arrival (a time, a file and line number), nulls last; rows that arrive together are told apart by
+    their other columns, so the outcome doesn't depend on the partitions.
+    """
     new = incoming.where(F.col(key).isNotNull()).join(target.select(key), key, "left_anti")
     cols = [c for c in incoming.columns if c != key]
-    picked = new.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("__row"))
-    return picked.select(key, *[F.col(f"__row.`{c}`").alias(c) for c in cols])
+    place = [x for c in order for x in (F.col(c).isNull(), F.col(c))] + [F.col(c) for c in cols if c not in order]
+    row = F.min_by(F.struct(*cols), F.struct(*[c.alias(f"o{n}") for n, c in enumerate(place)])).alias("__row")
+    return new.groupBy(key).agg(row).select(key, *[F.col(f"__row.`{c}`").alias(c) for c in cols])

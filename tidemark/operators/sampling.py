@@ -34,13 +34,44 @@ def allocation(strata: DataFrame, keys: list[str], size: str, target: int, floor
     return s.select(*keys, size, (F.col("__q") + add).cast("long").alias("n_sample"))
 
 
-def round_robin(rows: DataFrame, plan: DataFrame, keys: list[str], country: str, key: str, cap: int, seed: int) -> DataFrame:
+#: Hexadecimal digits of a shuffle key that make its bucket.
+BUCKET_DIGITS = 3
+
+
+def _buckets(rows: DataFrame, keys: list[str], digits: int) -> DataFrame:
+    """(keys, __b, __before): rows of a group that stand in buckets before this one. The window runs over at most 16**digits counts of a group."""
+    n = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return n.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__kb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+
+
+def _with_before(rows: DataFrame, keys: list[str], hash_: str, digits: int) -> DataFrame:
+    h = rows.withColumn("__b", F.substring(hash_, 1, digits))
+    c = _buckets(h, keys, digits)
+    on = h["__b"] == c["__kb"]
+    for i, k in enumerate(keys):
+        on = on & h[k].eqNullSafe(c[f"__k{i}"])
+    return h.join(c, on, "left").drop("__kb", *[f"__k{i}" for i in range(len(keys))])
+
+
+def shuffled_rank(rows: DataFrame, keys: list[str], hash_: str, key: str, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """``rows`` with ``__rank``, from 1: the place of a row in its group by ``hash_`` and ``key``.
+
+    Groups may be of any size: rows are ranked within a bucket of the hash, to which the counts of the buckets before are
+    added, so the largest group is sorted by 16**digits tasks instead of one.
+    """
+    within = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(hash_, key))
+    return _with_before(rows, keys, hash_, digits).withColumn("__rank", within + F.col("__before")).drop("__b", "__before")
+
+
+def round_robin(rows: DataFrame, plan: DataFrame, keys: list[str], country: str, key: str, cap: int, seed: int, digits: int = BUCKET_DIGITS) -> DataFrame:
     """``n_sample`` rows per stratum, one country after another in shuffled order, at most ``cap`` of a country while others last.
 
-    A row's place inside its country needs a sort within (stratum, country); only the first ``n_sample`` of these can be
-    drawn, so each group is cut to that before the second window over the stratum.
+    Only the first ``n_sample`` rows of a (stratum, country) in shuffled order can be drawn: rows whose bucket of the hash
+    begins beyond that are left out before anything is sorted, so the windows see a small multiple of the sample.
     """
     h = rows.join(plan.select(*keys, "n_sample"), keys).withColumn("__h", shuffle_key(seed, F.col(key)))
+    h = _with_before(h, [*keys, country], "__h", digits).where(F.col("__before") < F.col("n_sample")).drop("__b", "__before")
     h = h.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, country).orderBy("__h", key)) - 1).where(F.col("__i") < F.col("n_sample"))
     h = h.withColumn("__ch", shuffle_key(seed, F.col(country), *[F.col(k) for k in keys]))
     h = h.withColumn("__c", F.dense_rank().over(Window.partitionBy(*keys).orderBy("__ch", country)))
@@ -50,10 +81,55 @@ def round_robin(rows: DataFrame, plan: DataFrame, keys: list[str], country: str,
     return h.where(F.col("__k") <= F.col("n_sample")).drop("__h", "__i", "__ch", "__c", "__k", "n_sample")
 
 
+def quotas(counts: DataFrame, by: str, n: str, parts: list[tuple[str, float]]) -> DataFrame:
+    """``counts`` with one column per part: that share of all rows, rounded up, divided over the classes by largest remainders.
+
+    Each part is taken from what the parts before have left. What a class can't give goes to the class with the next
+    remainder; ties go to the first class. Windows run over the classes, of which there are few.
+    """
+    all_ = Window.partitionBy()
+    left = counts.withColumn("__left", F.col(n).cast("long"))
+    for name, share in parts:
+        left = left.withColumn("__all", F.sum("__left").over(all_)).withColumn("__want", F.ceil(F.round(F.col("__all") * F.lit(share), 9)))
+        exact = F.col("__want") * F.col("__left") / F.greatest(F.col("__all"), F.lit(1))
+        left = left.withColumn("__floor", F.floor(exact)).withColumn("__rest", F.round(exact - F.floor(exact), 9))
+        place = F.row_number().over(Window.orderBy(F.desc("__rest"), by))
+        left = left.withColumn("__gap", F.col("__want") - F.sum("__floor").over(all_)).withColumn(name, (F.col("__floor") + F.when(place <= F.col("__gap"), 1).otherwise(0)).cast("long"))
+        left = left.withColumn("__left", F.col("__left") - F.col(name))
+    return left.drop("__left", "__all", "__want", "__floor", "__rest", "__gap")
+
+
 def exact_split(rows: DataFrame, key: str, combo: str, shares: tuple[float, float], seed: int) -> DataFrame:
-    """``rows`` with ``split``: per combination the first ceil(share) rows in shuffled order are test, of the rest validation, the others train."""
-    w = Window.partitionBy(combo)
-    h = rows.withColumn("__k", F.row_number().over(w.orderBy(shuffle_key(seed, F.col(key)), key))).withColumn("__n", F.count(F.lit(1)).over(w))
-    test = F.ceil(F.col("__n") * shares[0])
-    valid = test + F.ceil((F.col("__n") - test) * shares[1])
-    return h.withColumn("split", F.when(F.col("__k") <= test, "test").when(F.col("__k") <= valid, "validation").otherwise("train")).drop("__k", "__n")
+    """``rows`` with ``split``: test is the first share of all rows, validation the second share of the others, the rest train.
+
+    Each class gives its largest-remainder quota, its rows in shuffled order: test first, then validation. A class of one
+    row goes where its remainder puts it. Null keys stand after the others of equal order.
+    """
+    q = quotas(rows.groupBy(combo).agg(F.count(F.lit(1)).alias("__n")), combo, "__n", [("__test", shares[0]), ("__valid", shares[1])])
+    q = q.select(F.col(combo).alias("__combo"), "__test", "__valid")
+    h = shuffled_rank(rows.withColumn("__h", shuffle_key(seed, F.col(key))), [combo], "__h", key)
+    h = h.join(q, h[combo].eqNullSafe(q["__combo"]), "left")
+    split = F.when(F.col("__rank") <= F.col("__test"), "test").when(F.col("__rank") <= F.col("__test") + F.col("__valid"), "validation").otherwise("train")
+    return h.withColumn("split", split).drop("__h", "__rank", "__combo", "__test", "__valid")
+
+
+def top_or_other(c: Column, top: list) -> Column:
+    """The value if it is one of ``top``, else ``other``."""
+    return F.when(c.isin(list(top)), c).otherwise("other")
+
+
+def most_frequent(df: DataFrame, column: str, n: int) -> list:
+    """The n most frequent values that are present, ties in order of the value (n rows come to the driver)."""
+    c = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    return [r[0] for r in c.orderBy(F.desc("__n"), column).limit(n).collect()]
+
+
+def thresholds(df: DataFrame, column: str, at: tuple[float, ...] = (0.333, 0.666)) -> list[float]:
+    """Exact percentiles of a column, for ``binned``."""
+    return list(df.agg(F.percentile(column, F.array(*map(F.lit, at)))).first()[0] or [0.0] * len(at))
+
+
+def first_sources(df: DataFrame, column: str, n: int, ignore: list | None = None) -> DataFrame:
+    """Rows of the first n sources in order of their names, ignored ones left out."""
+    one = df.where(F.col(column).isNotNull() & ~F.col(column).isin(list(ignore or []))).select(column).distinct().orderBy(column).limit(n)
+    return df.join(one, column, "left_semi")

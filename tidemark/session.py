@@ -17,18 +17,24 @@ def build_session(app: str = "tidemark", master: str | None = None, partitions:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
     )
     return (b.master(master) if master else b).getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``, or the one set on the context.
+
+    A private one only in a local session (tests): on a cluster a folder of one machine would be no checkpoint, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -36,7 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise once in the shared checkpoint folder, so that several readers don't recompute it.
 
-    Reliable checkpoint (replicated storage), never a local one: a lost executor costs nothing.
+    Reliable checkpoint (replicated storage), never a local one: a lost executor costs nothing. It runs when the query is
+    built; ``spark.cleaner.referenceTracking.cleanCheckpoints`` (set by ``build_session``) removes it with the last reference.
     """
     spark = df.sparkSession
     sc = spark.sparkContext

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 RAW = "url string, title string, body string, lang string, dateTime string, source_uri string"
 
@@ -34,17 +35,34 @@ def read_json_lenient(spark: SparkSession, path: str, schema: str, key: str) ->
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col(key).isNotNull())
 
 
+def read_years(spark: SparkSession, path: str, years: list[int] | None = None, column: str = "year") -> DataFrame:
+    """A Parquet folder partitioned by year, or one file of it; with ``years`` only those partitions are read."""
+    df = spark.read.parquet(path)
+    return df.where(F.col(column).isin(years)) if years and column in df.columns else df
+
+
+def read_draws(spark: SparkSession, path: str) -> DataFrame:
+    """Draws of a trace written by ``write_draws``: (param, level, chain, draw, value)."""
+    return spark.read.parquet(path).select("param", "level", "chain", "draw", "value")
+
+
 def read_numbered_json(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
     """(source, line_no, record...): lines counted from 1 with bad ones, which have no row; the source is the file's name.
 
-    Each file is one record until its lines are numbered, as a line number needs the lines before it.
+    A file is split as usual. A line's number is its place in its partition, plus the lines of the same file in the partitions
+    before it: one row per file and partition is summed up for that.
     """
-    t = spark.read.text(path, wholetext=True)
-    source = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl(\.gz)?$", ""), r"_climate(_pass\d+)?$", "")
-    lines = t.select(source.alias("source"), F.posexplode(F.split("value", "\n")).alias("p", "line"))
-    rec = F.from_json("line", schema, {"mode": "PERMISSIVE"})
-    ok = F.col("line").rlike(r"^\s*\{") & F.expr("try_parse_json(line) is not null")
-    return lines.where(ok).select("source", (F.col("p") + 1).alias("line_no"), rec.alias("r")).select("source", "line_no", "r.*")
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_name").alias("__name"), F.col("_metadata.file_block_start").alias("__at"))
+    t = t.withColumn("__id", F.monotonically_increasing_id())
+    # lines of a block have consecutive ids, blocks of a file follow each other by their start
+    blocks = t.groupBy("__f", "__at").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__f").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("__f", "__at", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    source = F.regexp_replace(F.regexp_replace("__name", r"\.jsonl(\.gz)?$", ""), r"_climate(_pass\d+)?$", "")
+    rec = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    ok = F.col("value").rlike(r"^\s*\{") & F.expr("try_parse_json(value) is not null")
+    lines = t.where(ok).join(blocks, ["__f", "__at"])
+    return lines.select(source.alias("source"), (F.col("__id") - F.col("__first") + F.col("__before") + 1).alias("line_no"), rec.alias("r")).select("source", "line_no", "r.*")
 
 
 def read_keyword_json(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +74,9 @@ def read_keyword_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """Lines without outer white space and quotes; blank ones are dropped."""
-    v = F.trim(F.col("value"))
+    from tidemark.functions.text import unicode_trim
+
+    v = unicode_trim(F.col("value"))
     for q in ('"', "'"):
         v = F.regexp_replace(v, f"^{q}+|{q}+$", "")
     return spark.read.text(path).select(v.alias("value")).where("value <> ''")
