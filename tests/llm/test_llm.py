@@ -124,10 +124,15 @@ def test_lines_known_as_whole(spark):
 
 
 def test_boilerplate(spark, clocks, samples):
+    """Prompts and notices are learned from the other pages, none of them is known beforehand."""
     body = "The water board described the damage to the wall, and the river authority asked for help with new wells."
-    page = f"Home | World | Opinion | Video\nA headline of our own story here\nBy the climate desk | 01.01.2021\n{body}\n{body}\nEnjoying this article? Become a member today for less than a coffee a week.\n{body} {body}\nMost read\n© 2021 Paper. All rights reserved."
-    a = articles(spark, [("p", "A headline of our own story here", page, "s", "eng", "page"), ("f", "x", page, "s", "eng", "feed")])
-    assert sorted((r.id, r.line_no) for r in boilerplate.p3_found(a, clocks, samples).collect()) == [("p", n) for n in (1, 3, 6, 8, 9)]
+    foot = "Enjoying this article? Become a member today for less than a coffee a week."
+    page = f"Home | World | Opinion | Video\nA headline of our own story here\nBy the climate desk | 01.01.2021\n{body}\n{body}\n{foot}\n{body} {body}\nMost read\n© 2021 Paper. All rights reserved."
+    others = [(f"o{i}", f"Headline {w} here", f"The {w} board met and spoke of {w} wells in the valley.\n{foot}\nMost read\nBy the climate desk | 0{i}.01.2021", "s", "eng", "page") for i, w in enumerate(("north", "south", "east", "west"), 1)]
+    a = articles(spark, [("p", "A headline of our own story here", page, "s", "eng", "page"), ("f", "x", body + "\nThe board asked for help with the wells.", "s", "eng", "feed"), *others])
+    assert sorted((r.id, r.line_no) for r in boilerplate.p3_found(a, clocks, samples).where("id = 'p'").collect()) == [("p", n) for n in (1, 3, 6, 8, 9)]
+    bodies = {r.id: r.body for r in boilerplate.main_body(a, clocks, samples).collect()}
+    assert bodies["o1"] == "The north board met and spoke of north wells in the valley." and "f" not in bodies
 
 
 def test_best_region_is_the_greatest_sum():

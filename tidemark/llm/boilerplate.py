@@ -1,14 +1,18 @@
 """Main body of web pages by maximum-scoring subsequence (problem 3).
 
-A page is a sequence of lines made of words and tags. Words score positive and tags negative; a tag here is what markup
-leaves behind in text: separators between short items, copyright signs, a line end without a sentence end, a user name
-before a colon. Word weights are log odds of clean text (``lang_samples``) against the labelled furniture lines below.
-One linear scan finds the contiguous region of lines with the greatest sum; lines outside it are dropped, and inside it
-those whose own score is clearly negative (prompts set between paragraphs). The page's own headline is kept where it
-stands above the body.
+A page is a sequence of words and tags. Words score positive and tags negative; a tag here is what markup leaves behind in
+text: separators between short items, copyright signs, the end of a line that ends no sentence, a user name before a
+colon. One linear scan finds the contiguous region of words and tags with the greatest sum; lines outside it are dropped, and
+inside it those whose own score is clearly negative (prompts set between paragraphs). The page's own headline is kept
+where it stands above the body.
+
+Word weights are fitted on labelled pages. The labels come from the tables: a line of a page whose form stands on pages of
+at least ``STORIES`` different stories is furniture; a line of content that wasn't taken from a page and that no other story has, and
+every clean sample, is body. A weight is the log odds of the word in the two kinds of lines. The fit takes about ``MAX_PAGES``
+pages and as many other rows (a documented bound, chosen by hash); all pages are scored.
 
 Defined results: rows of methods that aren't pages, null and blank contents have no rows; blank lines are never rows; a
-page without any positive line is dropped whole. Copies of a row count once.
+page without any positive line is dropped whole. Copies of a row count once. With too few pages to learn from, tags alone decide.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,79 +29,21 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrow import arrow_map
 from tidemark.llm.lookalike import canonical
 
-# Lines labelled by hand as page furniture ...
-FURNITURE = """
-All rights reserved | Copyright Media Group. No part may be reproduced without consent. | Share this story | Share on social media Send by e-mail Print
-This site stores small files on your device to remember your choices and to measure its audience. By going on you agree to this.
-Your privacy matters to us. Choose which partners may process your data. | Jobs Contact About us Imprint Privacy Terms of use Cookie policy Advertise
-Sign up for our morning letter and get the main stories in your inbox. | We use cookies and similar tools to run this site. Accept all Manage settings
-shares - pass it on | By the climate desk | By our staff reporter | You may also like | More on this topic | Related articles | Most read | Read more
-The views expressed here are those of the authors and do not bind | Enjoying this article? Become a member today for less than a coffee a week.
-is not responsible for the content of external pages. | Comments Join the discussion Log in to comment | Corrections can be sent to the readers' editor of
-Updated by our newsroom | Home World Opinion Weather Video Climate Health Subscribe Sign in Menu Search News Sport
-Todos los derechos reservados | Comparte esta noticia | Compartir Enviar por correo Imprimir | Al seguir navegando usted acepta que guardemos pequeños archivos en su dispositivo.
-Utilizamos cookies propias y de terceros para mejorar la navegación. Aceptar todo Configurar | Publicidad Contacto Quiénes somos Privacidad Aviso legal
-Las opiniones publicadas son de sus autores y no comprometen a | veces compartido | Actualizado el | Queda prohibida la reproducción sin permiso de
-Comentarios | También te puede interesar | no se hace responsable del contenido de páginas externas. | Lo más leído | Por la redacción de clima
-Apúntate a nuestro boletín y recibe cada mañana lo más importante. | ¿Te gusta lo que lees? Hazte socio por menos de un café a la semana.
-El tiempo Clima Inicio Mundo Vídeos Suscríbete Salud Opinión
-Todos os direitos reservados | Compartilhe esta notícia | Compartilhar Enviar por e-mail Imprimir | Ao continuar navegando, você concorda com o armazenamento de arquivos no seu aparelho.
-Usamos cookies para melhorar a sua experiência. Aceitar tudo Preferências | Quem somos Privacidade Contato Anuncie Expediente
-As opiniões aqui publicadas são dos autores e não representam | compartilhamentos | Atualizado em | Proibida a reprodução sem autorização de
-Comentários | Veja também | não se responsabiliza pelo conteúdo de páginas externas. | Mais lidas | Da redação de clima
-Receba toda manhã as principais notícias no seu e-mail. | Gostou do texto? Seja assinante por menos de um café por semana.
-Previsão do tempo Clima Início Mundo Vídeos Assine Saúde Opinião
-Tous droits réservés | Partager cet article | Partager Envoyer par courriel Imprimer | En poursuivant votre navigation, vous acceptez le dépôt de fichiers sur votre appareil.
-Nous utilisons des cookies pour faire fonctionner ce site. Tout accepter Paramétrer | Qui sommes-nous Contact Publicité Confidentialité Mentions légales
-Les opinions exprimées ici n'engagent pas | partages | Mis à jour le | Reproduction interdite sans l'accord de
-Commentaires | À lire aussi | n'est pas responsable du contenu des pages externes. | Les plus lus | Par la rédaction climat
-Recevez chaque matin l'essentiel de l'actualité dans votre boîte. | Cet article vous plaît ? Abonnez-vous pour moins d'un café par semaine.
-Climat Météo Santé Opinions S'abonner Monde Accueil Vidéos
-Alle Rechte vorbehalten | Diesen Artikel teilen | Teilen Per E-Mail senden Drucken | Mit dem weiteren Besuch stimmen Sie zu, dass Dateien auf Ihrem Gerät gespeichert werden.
-Wir verwenden Cookies, damit diese Seite funktioniert. Alle annehmen Einstellungen | Datenschutz AGB Kontakt Über uns Impressum
-Die hier geäußerten Meinungen sind die der Autoren und nicht die von | Mal geteilt | Aktualisiert am | Nachdruck nur mit Zustimmung von
-Kommentare | Das könnte Sie auch interessieren | haftet nicht für die Inhalte fremder Seiten. | Meistgelesen | Von der Klimaredaktion
-Jeden Morgen das Wichtigste im Postfach: jetzt den Newsletter bestellen. | Gefällt Ihnen dieser Text? Werden Sie Mitglied für weniger als einen Kaffee pro Woche.
-Welt Klima Wetter Videos Abo Startseite Meinung Gesundheit
-Tutti i diritti riservati | Condividi questo articolo | Condividi Invia per e-mail Stampa | Proseguendo la navigazione accetti il salvataggio di file sul tuo dispositivo.
-Usiamo cookie per far funzionare questo sito. Accetta tutto Gestisci | Note legali Contatti Riservatezza Chi siamo Pubblicità
-Le opinioni qui pubblicate sono degli autori e non impegnano | condivisioni | Aggiornato il | Riproduzione vietata senza il consenso di
-Commenti | Leggi anche | non risponde dei contenuti di pagine esterne. | I più letti | Della redazione clima
-Ricevi ogni mattina le notizie principali nella tua casella. | Ti piace questo articolo? Abbonati per meno di un caffè a settimana.
-Opinioni Clima Mondo Abbonati Video Prima pagina Salute Meteo
-Все права защищены | Поделиться новостью | Поделиться Отправить по почте Распечатать | Продолжая просмотр, вы соглашаетесь на хранение файлов на вашем устройстве.
-Мы используем файлы cookie, чтобы сайт работал. Принять все Настроить | Конфиденциальность О нас Выходные данные Реклама Контакты
-Мнение авторов может не совпадать с мнением редакции | Поделились раз | Обновлено | Перепечатка без согласия запрещена
-Комментарии | Читайте также | не отвечает за содержание внешних страниц. | Самое читаемое | Отдел климата
-Получайте главные новости каждое утро на свою почту. | Понравился текст? Оформите подписку дешевле чашки кофе в неделю.
-Главная Климат Мир Мнения Погода Здоровье Видео Подписка
-版权所有 | 分享这篇文章 | 分享到社交媒体 发送邮件 打印 | 继续浏览即表示您同意在您的设备上保存文件。 | 我们使用小型文本文件来维持本站运行。全部接受 管理设置
-关于我们 法律声明 隐私 广告 联系方式 | 本文观点仅代表作者，与本报无关。 | 已被分享次 | 更新于 | 未经许可不得转载 | 评论 | 相关阅读 | 最多阅读 | 气候组报道
-对外部网页的内容不承担责任。 | 订阅我们的早间简报，每天收到重要新闻。 | 喜欢这篇文章吗？现在就成为会员。 | 视频 观点 国际 天气 订阅 气候 首页 健康
-"""
-# ... and as parts of articles that share words with it.
-BODY = """
-The new privacy rules also cover cookies set by the weather app. | What is planning | The view from | Numbers from
-Las nuevas normas afectan también a las cookies de la aplicación del tiempo. | Qué planea | La situación en | Datos de
-As novas regras valem também para os cookies do aplicativo de previsão do tempo. | O que planeja | A situação em
-Les nouvelles règles visent aussi les cookies de l'application météo. | Ce que prévoit | Le point de vue de
-Die neuen Regeln gelten auch für Cookies der Wetter-App. | Was plant | Der Blick aus
-Le nuove regole riguardano anche i cookie dell'app del meteo. | Che cosa prepara | La situazione a
-Новые правила касаются и файлов cookie погодного приложения. | Что планирует | Взгляд из района
-新的隐私规定也适用于天气应用设置的小型文本文件。 | 的计划 | 的看法 | 来自
-"""
-
-#: How much one occurrence in the few labelled furniture lines weighs against one in clean text, at most.
-BALANCE = 40
+#: A line form on pages of so many stories is furniture.
+STORIES = 3
+#: Rows of each kind that the weights are fitted on.
+MAX_PAGES, MAX_SAMPLES = 4000, 4000
+#: How much body text weighs against furniture, and the count added to both.
+BALANCE, SMOOTH = 2.0, 0.2
 WORD_LOW, WORD_HIGH, WORD_NEW = -4.0, 1.0, 0.35
 LINE_LOW, LINE_HIGH = -5.0, 40.0
 #: A long sentence is furniture only if its words weigh less than this on average.
 SENTENCE_LOW = -0.6
 #: Lines of the region with at most this score are dropped.
 DROP = -3.0
-MAX_SAMPLES = 4000
 
 _TOKEN = re.compile(r"[^\W\d_]+")
+_NUMBER = re.compile("[0-9]+")
 _HAN = re.compile("[一-鿿]+")
 _TERMINAL = re.compile(r"[.!?…。！？]['\"”»“’）)\]]*$|['\"”»“’]$")
 _SEPARATOR = re.compile(r"(?<=\S)(?:\s*[|·»›/•]\s+|\s+[>|·»›/]\s*|\s{2,})(?=\S)")
@@ -115,38 +62,56 @@ def tokens(line: str) -> list[str]:
 
 
 class Weights(dict):
-    """Weight of a word; words of neither kind of text weigh ``WORD_NEW``."""
+    """Weight of a word; words of neither kind of text weigh ``WORD_NEW``. ``labels``: furniture forms that may stand before a colon."""
+
+    labels: frozenset[str] = frozenset()
 
     def __missing__(self, word: str) -> float:
         return WORD_NEW
 
 
-def weights(samples: list[str]) -> Weights:
-    """Log odds of every word of the labelled lines and samples; words of neither weigh ``WORD_NEW``."""
+def line_form(line: str) -> str:
+    return re.sub(r"\s+", " ", _NUMBER.sub("", line)).strip().lower()
+
+
+def labelled(pages_: list[tuple[str, str]], others: list[str], samples: list[str]) -> tuple[dict[str, int], list[str]]:
+    """(furniture forms and the number of stories that show each, body lines) of (story, content) of pages, other contents and clean samples."""
+    shown: dict[str, set[str]] = {}
+    for story, content in pages_:
+        for f in {line_form(x) for x in canonical(content).split("\n")}:
+            shown.setdefault(f, set()).add(story)
+    furniture = {f: len(s) for f, s in shown.items() if f and len(s) >= STORIES}
+    lines = [[(line_form(x), x) for x in canonical(c).split("\n")] for c in others]
+    n = Counter(f for xs in lines for f in {f for f, _ in xs})
+    return furniture, [x for xs in lines for f, x in xs if f and n[f] == 1 and f not in furniture] + samples
+
+
+def weights(furniture: dict[str, int], body: list[str]) -> Weights:
+    """Log odds of every word of the labelled lines; words of neither weigh ``WORD_NEW``."""
     bad, good = Counter(), Counter()
-    for line in FURNITURE.replace("|", "\n").split("\n"):
-        bad.update(tokens(line))
-    for s in samples:
-        good.update(tokens(s))
-    # with little clean text, common words of the labelled lines must not look like furniture
-    balance = int(min(BALANCE, max(2, 2.5 * good.total() / bad.total())))
-    for line in BODY.replace("|", "\n").split("\n"):
-        good.update(tokens(line) * balance)
-    return Weights({w: min(WORD_HIGH, max(WORD_LOW, WORD_NEW + math.log((good[w] + 1) / (balance * bad[w] + 1)))) for w in bad.keys() | good.keys()})
+    for f, n in furniture.items():
+        for w in tokens(f):
+            bad[w] += 1 + math.log(n)
+    for x in body:
+        good.update(tokens(x))
+    share = BALANCE * bad.total() / max(good.total(), 1)
+    out = Weights({w: min(WORD_HIGH, max(WORD_LOW, WORD_NEW + math.log((good[w] * share + SMOOTH) / (bad[w] + SMOOTH)))) for w in bad.keys() | good.keys()})
+    out.labels = frozenset(f for f in furniture if len(f) < 40)
+    return out
 
 
 def ended(line: str) -> bool:
     return bool(_TERMINAL.search(line, max(0, len(line) - 12)))
 
 
-def line_score(line: str, weight: Weights) -> float:
-    """Words positive, tags negative; ``line`` is stripped and canonical."""
+def line_score(line: str, weight: Weights, ws: list[float] | None = None) -> float:
+    """Words positive, tags negative; ``line`` is stripped and canonical. ``ws``: the weights of its words."""
     if _USER.match(line):
         return LINE_LOW
     if line.count(" > ") > 1 or line.count(" » ") > 1 or line.count(" › ") > 1:
         return LINE_LOW  # the way to the page
-    words = tokens(line)
-    s = min(LINE_HIGH, sum(map(weight.__getitem__, words)))
+    words = [weight[w] for w in tokens(line)] if ws is None else ws
+    s = min(LINE_HIGH, sum(words))
     end = ended(line)
     if len(words) > 25 and "©" not in line and (end or s > 0):
         return max(LINE_LOW, s) if s / len(words) <= SENTENCE_LOW else max(s, 1.0)
@@ -166,21 +131,45 @@ def line_score(line: str, weight: Weights) -> float:
     if _ITEM.match(line) and line[-1] in ")）":
         return max(2.0, min(s, 6.0))
     label, colon, _ = line.partition(": ")
-    if colon and len(label) < 40 and sum(map(weight.__getitem__, tokens(label))) < -1.5:
+    if colon and len(label) < 40 and (sum(map(weight.__getitem__, tokens(label))) < -1.5 or line_form(label) in weight.labels):
         return LINE_LOW
     return max(LINE_LOW, min(s, 2.0) - 2.5)
 
 
-def best_region(scores: list[float]) -> tuple[int, int]:
+def best_region(scores) -> tuple[int, int]:
     """First contiguous region with the greatest sum, as [start, end); empty where nothing is positive."""
-    top, where, run, start = 0.0, (0, 0), 0.0, 0
-    for i, s in enumerate(scores):
-        if run <= 0:
-            run, start = 0.0, i
-        run += s
-        if run > top:
-            top, where = run, (start, i + 1)
-    return where
+    total = np.concatenate([[0.0], np.cumsum(np.asarray(scores, float))])
+    low = np.minimum.accumulate(total)
+    gain = total - low
+    end = int(gain.argmax())
+    if gain[end] <= 1e-9:
+        return 0, 0
+    return int(np.flatnonzero(total[:end] == low[end])[-1]), end
+
+
+def elements(ws: list[float], score: float) -> list[float]:
+    """Weights of the words of a line and of its closing tag, which is never positive; together they make the line's score.
+
+    What a score is held up by (a long sentence, the bound on furniture) is shared by the words, as is the bound on long lines.
+    """
+    whole = sum(ws)
+    if whole > LINE_HIGH:
+        ws, whole = [w * LINE_HIGH / whole for w in ws], LINE_HIGH
+    more = score - whole
+    if more > 0 and ws:
+        ws, more = [w + more / len(ws) for w in ws], 0.0
+    return [*ws, more]
+
+
+def body_lines(words: list[list[float]], scores: list[float]) -> tuple[int, int]:
+    """[first, end) of the lines that the best region of words and tags touches."""
+    per = [elements(ws, s) for ws, s in zip(words, scores)]
+    flat = [v for vs in per for v in vs]
+    a, b = best_region(flat)
+    if a == b:
+        return 0, 0
+    ends = np.cumsum([len(vs) for vs in per])
+    return int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1
 
 
 def _same(a: str, b: str) -> bool:
@@ -194,8 +183,9 @@ def furniture_lines(content: str, title: str | None, weight: Weights) -> list[in
     lines = [(i, x) for i, x in lines if x]
     if not lines:
         return []
-    scores = [line_score(x, weight) for _, x in lines]
-    a, b = best_region(scores)
+    words = [[weight[w] for w in tokens(x)] for _, x in lines]
+    scores = [line_score(x, weight, ws) for (_, x), ws in zip(lines, words)]
+    a, b = body_lines(words, scores)
     keep = {k for k in range(a, b) if scores[k] > DROP}
     # headlines of other articles: two or more unended lines in a row, or after a dropped unended line, numbered or not
     k = a
@@ -227,9 +217,18 @@ def furniture_lines(content: str, title: str | None, weight: Weights) -> list[in
     return [n for k, (n, _) in enumerate(lines) if k not in keep]
 
 
-def train(lang_samples: DataFrame, max_samples: int = MAX_SAMPLES) -> Weights:
-    """Word weights from the labelled lines and at most ``max_samples`` clean texts (a small, fixed table)."""
-    return weights([r.text for r in lang_samples.where("text is not null").orderBy("sample_id").limit(max_samples).select("text").collect()])
+def train(articles: DataFrame, collector_clocks: DataFrame, lang_samples: DataFrame, max_pages: int = MAX_PAGES, max_samples: int = MAX_SAMPLES) -> Weights:
+    """Word weights from about ``max_pages`` pages and as many other contents, and at most ``max_samples`` clean texts."""
+    methods = collector_clocks.where("is_page").select("collection_method", F.lit(True).alias("__page")).distinct()
+    rows = articles.where("id is not null").join(methods, "collection_method", "left").withColumn("__page", F.coalesce("__page", F.lit(False)))
+    n = {r["__page"]: r["count"] for r in rows.groupBy("__page").count().collect()}
+    # the same rows whenever asked: those whose hash lies under a threshold, as fine as the table is large
+    take = lambda k: F.lit(min(2**63 - 1, int(max_pages / max(1, n.get(k, 0)) * 2**64) - 2**63))
+    some = rows.where(F.xxhash64("id", F.lit(3)) <= F.when(F.col("__page"), take(True)).otherwise(take(False))).where("content is not null")
+    got = {r.id: r for r in some.select("id", "title", "content", "__page").limit(4 * max_pages).collect()}
+    got = [got[k] for k in sorted(got)]
+    samples = [r.text for r in lang_samples.where("text is not null").orderBy("sample_id").limit(max_samples).select("text").collect()]
+    return weights(*labelled([(r.title or r.id, r.content) for r in got if r["__page"]], [r.content for r in got if not r["__page"]], samples))
 
 
 def pages(articles: DataFrame, collector_clocks: DataFrame) -> DataFrame:
@@ -239,7 +238,7 @@ def pages(articles: DataFrame, collector_clocks: DataFrame) -> DataFrame:
 
 def p3_found(articles: DataFrame, collector_clocks: DataFrame, lang_samples: DataFrame) -> DataFrame:
     """(id, line_no): lines of web pages that don't belong to the main body."""
-    held = articles.sparkSession.sparkContext.broadcast(train(lang_samples))  # bounded by max_samples
+    held = articles.sparkSession.sparkContext.broadcast(train(articles, collector_clocks, lang_samples))  # bounded by max_pages and max_samples
 
     def run(b: pa.RecordBatch):
         rows, number = [], []
@@ -254,7 +253,7 @@ def p3_found(articles: DataFrame, collector_clocks: DataFrame, lang_samples: Dat
 
 def main_body(articles: DataFrame, collector_clocks: DataFrame, lang_samples: DataFrame) -> DataFrame:
     """(id, body): the main body of every web page; null where nothing of it is left."""
-    held = articles.sparkSession.sparkContext.broadcast(train(lang_samples))
+    held = articles.sparkSession.sparkContext.broadcast(train(articles, collector_clocks, lang_samples))
 
     def run(b: pa.RecordBatch):
         out = []
