@@ -210,29 +210,46 @@ def test_chunks_dont_depend_on_their_place():
 @pytest.mark.parametrize(
     "text, case",
     [("plain", False), ("café", True), ("café", False), ("ａ", True), ("ﬁne", True), ("a​b", True), ("a b", True), ("crоp", True), ("станция", False), ("cтанция", True),
-     ("“x” – y… • z", False), ("，。：", False), ("CO₂ m²", False), ("�", False), ("tab\tline\r\n", False), ("Москва is far", False)],
+     ("“x” – y… • z", False), ("night‑time", True), ("ցood", True), ("，。：", False), ("CO₂ m²", False), ("�", False), ("tab\tline\r\n", False), ("Москва is far", False)],
 )
 def test_lookalikes(text, case):
     assert (lookalike.canonical(text) != text) is case
     assert lookalike.canonical(lookalike.canonical(text)) == lookalike.canonical(text)
 
 
+def test_consistent_fields(spark):
+    rows = [("a", "STRAẞE ＡＢ", "plain Text\n", "s", "eng", "feed"), ("b", None, "", "s", "eng", "feed"), ("c", "night‑time", "Cafe\u0301", "s", "eng", "feed"), ("d", "Straße", "İ", "s", "eng", "feed")]
+    df = articles(spark, rows + rows)
+    got = {r.id: (r.title, r.title_folded, r.content, r.content_folded) for r in lookalike.consistent(df, ["title", "content"], "_folded").collect()}
+    assert got == {"a": ("STRAẞE AB", "strasse ab", "plain Text\n", "plain text\n"), "b": (None, None, "", ""), "c": ("night-time", "night-time", "Café", "café"), "d": ("Straße", "strasse", "İ", "i̇")}
+    assert sorted((r.id, r.field_name) for r in lookalike.p7_found(df).collect()) == [("a", "title"), ("c", "content"), ("c", "title")]
+    assert lookalike.consistent(df.limit(0), ["title"]).count() == 0
+
+
 def test_tokens_like_the_public_tokenizer():
     import public_tokenizers as P
     import tiktoken
 
     v = bpe.vocabulary(bpe.vocabulary_path())
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
-    texts = ["", None, " ", "Hello world's  end\n\n x", "<|endoftext|>", "在远离首都的地方，柳河镇", "a" * 700, "  x y ", "🔥👩🏽‍🌾", " 1234567 ", "tab\t x\r\n y"]
+    texts = ["", None, " ", "Hello world's  end\n\n x", "<|endoftext|>", "在远离首都的地方，柳河镇", "a" * 700, "  x y ", "🔥👩🏽‍🌾", " 1234567 ", "two  blanks and\n lines with words " * 40, "a\u00a0b c\u3000 d", "x " * 70, "tab\t x\r\n y"]
     e = bpe.Encoder(v)
     for _ in range(2):
         ids, n = e.batch(texts)
         at = np.concatenate([[0], np.cumsum(n)])
         for i, t in enumerate(texts):
             assert ids[at[i] : at[i + 1]].tolist() == (enc.encode_ordinary(t) if t else [])
+        assert len(e.index) == e.start.n == e.size.n and all(len(k) <= bpe.LONGEST for k in (*e.index, *e.pieces))
     assert bpe._counted(texts, bpe._Known(v)) == [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
 
 
+def test_budget_counts_copies_once(spark):
+    rows = [("a", None, "one two", "s", "eng", "feed"), ("a", None, "two one", "s", "eng", "feed"), ("b", None, None, "s", None, "feed"), ("b", None, "", "s", None, "feed")]
+    got = {(r.slice, r.value): (r.n_articles, r.n_tokens) for r in bpe.p4_budget(articles(spark, rows * 3)).collect()}
+    assert got == {("source_uri", "s"): (4, 4), ("language", "eng"): (2, 4), ("language", None): (2, 0), ("domain", "a.com"): (4, 4)}
+    assert sorted((r.id, r.n_tokens) for r in bpe.p4_tokens(articles(spark, rows * 2)).collect()) == [("a", 2), ("a", 2), ("b", 0), ("b", 0)]
+
+
 def test_leaks(spark):
     item = " ".join(f"word{i}" for i in range(40))
     filler = " ".join(f"other{i}" for i in range(60))

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrow import arrow_map
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Distinct pieces a worker remembers; when full, the cache starts anew.
-CACHE = 300_000
+#: Distinct pieces a worker remembers, and the longest of them in characters (longer ones are worked out each time), so about
+#: 100 MB at most; when full, the cache starts anew.
+CACHE, LONGEST = 300_000, 64
 INF = np.int64(2**62)
 
 
@@ -98,23 +99,22 @@ def splitter():
 
 
 _BESIDE = tuple(a + b for a in " \n\r\t" for b in " \n\r\t" if " " in (a, b))
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_LONE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 
 
 def chunks(text: str) -> list[str]:
-    """Cut a text at single blanks, each going with what follows; no piece of the pattern reaches over such a cut.
+    """Cut a text at its lone blanks, each going with what follows; no piece of the pattern reaches over such a cut.
 
-    Chunks are the unit of the caches: most are single words. A text with blanks beside other white space, where the
-    pattern looks over the blank, stays whole.
+    Chunks are the unit of the caches: most are single words. A blank beside other white space, where the pattern looks
+    over the blank, is no place to cut.
     """
     if any(x in text for x in _BESIDE) or not text.isascii() and _OTHER_SPACE.search(text):
-        return [text]
+        return _LONE_BLANK.split(text)
     first, *rest = text.split(" ")
     return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
 
 
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
 def count_symbols(piece: bytes, v: Vocabulary) -> int:
     """Symbols of ``piece`` that survive all merges: linked list and priority queue."""
     n = len(piece)
@@ -211,8 +211,22 @@ def encode_pieces(pieces: list[bytes], v: Vocabulary, at_once: int = 2_000_000)
     return out
 
 
+class _Store:
+    """A growing array: appending copies the whole only when it doubles."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray):
+        end = self.n + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(max(len(self.data), end), self.data.dtype)])
+        self.data[self.n : end] = values
+        self.n = end
+
+
 class Encoder:
-    """Encodes batches of texts; remembers the ids of distinct pieces in one growing store."""
+    """Encodes batches of texts; remembers the ids of distinct chunks in one growing store."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -221,36 +235,43 @@ class Encoder:
     def reset(self):
         self.index: dict[str, int] = {}
         self.pieces: dict[str, np.ndarray] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size = _Store(np.int32), _Store(np.int64), _Store(np.int64)
 
     def _learn(self, new: list[str]):
         split = splitter().findall
         per = [split(c) for c in new]
         missing = [p for p in dict.fromkeys(p for ps in per for p in ps) if p not in self.pieces]
-        self.pieces.update(zip(missing, encode_pieces([p.encode("utf-8", "replace") for p in missing], self.v)))
-        ids = [np.concatenate([self.pieces[p] for p in ps]) if ps else np.zeros(0, np.int64) for ps in per]
-        base = len(self.index)
-        self.index.update(zip(new, range(base, base + len(new))))
+        got = dict(zip(missing, encode_pieces([p.encode("utf-8", "replace") for p in missing], self.v)))
+        ids = [np.concatenate([got[p] if p in got else self.pieces[p] for p in ps]) if ps else np.zeros(0, np.int64) for ps in per]
+        self.pieces.update((p, x) for p, x in got.items() if len(p) <= LONGEST)
+        self.index.update(zip(new, range(self.start.n, self.start.n + len(new))))
         size = np.array([len(x) for x in ids], np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *(x.astype(np.int32) for x in ids)])
+        self.start.add(self.flat.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.flat.add(np.concatenate(ids) if ids else size)
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        if len(self.index) + len(self.pieces) > CACHE or len(self.flat) > 40 * CACHE:
+        if len(self.index) + len(self.pieces) > CACHE:
             self.reset()
         per = [chunks(t) if t else [] for t in texts]
         every = [c for cs in per for c in cs]
-        new = list(set(every) - self.index.keys())
-        if new:
-            self._learn(new)
+        new = set(every) - self.index.keys()
+        self._learn([c for c in new if len(c) <= LONGEST])
+        kept = self.start.n, self.flat.n
+        long = [c for c in new if len(c) > LONGEST]
+        self._learn(long)
         at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-        size = self.size[at]
+        size = self.size.data[at]
         total = int(size.sum())
-        where = np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(total)
+        where = np.repeat(self.start.data[at] - (np.cumsum(size) - size), size) + np.arange(total)
         per_text = np.repeat(np.arange(len(texts)), [len(c) for c in per])
-        return self.flat[where], np.bincount(per_text, weights=size, minlength=len(texts)).astype(np.int64)
+        ids = self.flat.data[where]
+        for c in long:  # long chunks are forgotten again
+            del self.index[c]
+        self.start.n = self.size.n = kept[0]
+        self.flat.n = kept[1]
+        return ids, np.bincount(per_text, weights=size, minlength=len(texts)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -283,9 +304,12 @@ class _Known(dict):
         for p in splitter().findall(chunk):
             k = self.pieces.get(p)
             if k is None:
-                k = self.pieces[p] = count_symbols(p.encode("utf-8", "replace"), self.v)
+                k = count_symbols(p.encode("utf-8", "replace"), self.v)
+                if len(p) <= LONGEST:
+                    self.pieces[p] = k
             n += k
-        self[chunk] = n
+        if len(chunk) <= LONGEST:
+            self[chunk] = n
         return n
 
 
@@ -315,9 +339,16 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "content", path: st
     return arrow_map(df.select(*keep, F.col(text).alias("__t")), run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long")
 
 
+def _copy_key(columns: list[str]) -> "F.Column":
+    """128 bits of all the columns of a row, nulls told apart from empty texts."""
+    of = [x for c in columns for x in (F.col(c).isNull(), F.coalesce(F.col(c), F.lit("")))]
+    return F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit(7), *of).alias("b"))
+
+
 def p4_tokens(articles: DataFrame, path: str | None = None) -> DataFrame:
-    """(id, n_tokens) of each article, once per id and content."""
-    return token_counts(articles.where("id is not null"), ["id"], path=path).dropDuplicates(["id", "n_tokens"])
+    """(id, n_tokens) of each article, once per id and content; two contents of one id give two rows, even of equal counts."""
+    a = articles.where("id is not null").select("id", "content").withColumn("copy", _copy_key(["id", "content"]))
+    return token_counts(a, ["id", "copy"], path=path).dropDuplicates(["id", "copy"]).select("id", "n_tokens")
 
 
 def site_domain(url) -> "F.Column":
@@ -328,9 +359,10 @@ def site_domain(url) -> "F.Column":
 
 def p4_budget(articles: DataFrame, path: str | None = None) -> DataFrame:
     """(slice, value, n_articles, n_tokens): exact totals by source_uri, language and domain; copies of a row count once."""
-    # exact copies are one article: they share id, content and slices, so they are told apart by a hash of all of them
     a = articles.where("id is not null").select("id", "source_uri", "language", site_domain(F.col("url")).alias("domain"), "content")
-    t = token_counts(a, ["id", "source_uri", "language", "domain"], path=path).dropDuplicates(["id", "source_uri", "language", "domain", "n_tokens"])
+    a = a.withColumn("copy", _copy_key(["id", "source_uri", "language", "domain", "content"]))
+    # a copy is dropped by its hash, which moves instead of the text
+    t = token_counts(a, ["source_uri", "language", "domain", "copy"], path=path).dropDuplicates(["copy"])
     slices = F.array(*[F.struct(F.lit(c).alias("slice"), F.col(c).alias("value")) for c in ("source_uri", "language", "domain")])
     return (
         t.select(F.explode(slices).alias("s"), "n_tokens").groupBy("s.slice", "s.value")

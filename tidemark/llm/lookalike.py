@@ -2,7 +2,8 @@
 
 ``canonical`` brings a text to compatibility-composed form with mapped white space, without default-ignorable characters
 and with look-alike letters of another script inside a word mapped to the word's script; ``comparable`` adds full case
-folding. Both are worked out once per distinct value of a batch; a text of plain characters is left after one scan.
+folding. Arrow kernels find the values that hold anything but plain characters and the distinct ones among them; each of
+these is worked out once. ``p7_consistent`` gives both forms: one to read, one to compare by.
 
 A field is a case if bringing it to the form changes a character that counts: typographic quotes, dashes, ellipses,
 bullets, U+FFFD, Chinese punctuation, super- and subscripts and whole words in another script don't.
@@ -16,7 +17,9 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +28,11 @@ from tidemark.functions.arrow import arrow_map
 # Letters of other scripts that look like Latin ones, and the Latin letters they look like.
 CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏАВЕКМНОРСТУХЅІЈԌѴ", "aeopcyxsijhdqwlABEKMHOPCTYXSIJGV"))
 GREEK = dict(zip("οναρυιΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovapuiABEZHIKMNOPTYX"))
-TO_LATIN = CYRILLIC | GREEK
+OTHER = dict(zip("օսոհցյɑɡ", "ounhgjag"))
+TO_LATIN = CYRILLIC | GREEK | OTHER
 TO_CYRILLIC = {v: k for k, v in dict(zip("аеорсухАВЕКМНОРСТУХ", "aeopcyxABEKMHOPCTYX")).items()}
 #: Punctuation usual in Chinese and in print: kept as it is though a compatibility form exists.
-KEPT = set("，。：；？！（）「」『』【】《》〈〉、～…‥“”‘’‚„‛‟«»‹›–—―‒‐‑−•·‣⁃′″‴�％＋－／＝＆＠＃＊｜￥")
+KEPT = set("，。：；？！（）「」『』【】《》〈〉、～…‥“”‘’‚„‛‟«»‹›–—―‒−•·‣⁃′″‴�％＋－／＝＆＠＃＊｜￥")
 _SCRIPTS = {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G"}
 
 
@@ -50,6 +54,8 @@ def plain_of(c: str) -> str:
         return c
     if ignorable(c):
         return ""
+    if c in "\u2010\u2011":  # hyphens that look like the usual one
+        return "-"
     if unicodedata.category(c) in ("Zs", "Zl", "Zp"):
         return " "
     if unicodedata.decomposition(c).startswith(("<super>", "<sub>", "<fraction>", "<circle>")):
@@ -67,14 +73,13 @@ def _tables():
 
 _NEAR = frozenset(TO_LATIN)
 _WORD = re.compile(r"[^\W\d_]+")
-_LATIN, _CYR, _GRK = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽ]")
+_LATIN, _FOREIGN = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ѐ-ԯͰ-Ͽ\u0530-\u058fɑɡ]")
 _CYR_OWN = re.compile("[бвгджзийклмнптфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯёЁ]")
 
 
 def one_script(word: str) -> str:
     """A word of mixed look-alike scripts in the script of its other letters; other words as they are."""
-    latin, other = bool(_LATIN.search(word)), bool(_CYR.search(word) or _GRK.search(word))
-    if not (latin and other):
+    if not (_LATIN.search(word) and _FOREIGN.search(word)):
         return word
     if _CYR_OWN.search(word):
         return "".join(TO_CYRILLIC.get(c, c) for c in word)
@@ -98,10 +103,19 @@ def comparable(text: str) -> str:
     return unicodedata.normalize("NFC", canonical(text).casefold())
 
 
-def _each(values: list, fn):
-    """``fn`` once per distinct value."""
-    known = {v: fn(v) for v in set(values) if v}
-    return [known.get(v, v) for v in values]
+def changed(values: pa.Array, fn) -> tuple[np.ndarray, list[str]]:
+    """(rows, new texts) of the values that ``fn`` changes, worked out once per distinct value; texts of plain characters aren't looked at.
+
+    ``fn`` must leave printable ASCII, tabs and line ends as they are.
+    """
+    odd = np.flatnonzero(pc.fill_null(pc.match_substring_regex(values, r"[^\x20-\x7e\t\n\r]"), False).to_numpy(zero_copy_only=False))
+    one = values.take(pa.array(odd)).dictionary_encode()
+    old = one.dictionary.to_pylist()
+    new = [fn(v) for v in old]
+    other = np.array([a != b for a, b in zip(old, new)], bool)
+    which = one.indices.to_numpy(zero_copy_only=False)
+    hit = other[which] if len(which) else np.zeros(0, bool)
+    return odd[hit], [new[k] for k in which[hit].tolist()]
 
 
 def p7_found(articles: DataFrame) -> DataFrame:
@@ -109,26 +123,34 @@ def p7_found(articles: DataFrame) -> DataFrame:
     src = articles.where("id is not null").select("id", "title", "content")
 
     def run(b: pa.RecordBatch):
-        rows, names = [], []
-        for name in ("title", "content"):
-            values = b[name].to_pylist()
-            for i, (v, c) in enumerate(zip(values, _each(values, canonical))):
-                if v and v != c:
-                    rows.append(i)
-                    names.append(name)
-        return {"id": b["id"].take(pa.array(rows, pa.int64())), "field_name": names}
+        per = {name: changed(b[name], canonical)[0] for name in ("title", "content")}
+        rows = np.concatenate(list(per.values())).astype(np.int64)
+        return {"id": b["id"].take(pa.array(rows)), "field_name": [name for name, r in per.items() for _ in r]}
 
     return arrow_map(src, run, "id string, field_name string").dropDuplicates()
 
 
-def consistent(df: DataFrame, columns: list[str], folded: bool = False) -> DataFrame:
-    """``df`` with the named text columns in consistent form (``folded``: also case folded)."""
-    from pyspark.sql.pandas.functions import pandas_udf
+def _put(values: pa.Array, rows: np.ndarray, new: list[str]) -> pa.Array:
+    mask = np.zeros(len(values), bool)
+    mask[rows] = True
+    return pc.replace_with_mask(values, pa.array(mask), pa.array(new, values.type))
+
 
-    fn = comparable if folded else canonical
+def consistent(df: DataFrame, columns: list[str], folded: str | None = None) -> DataFrame:
+    """``df`` with the named text columns in consistent form; ``folded``: and, with this suffix, in the form for comparing.
 
-    @pandas_udf("string")
-    def form(s):
-        return s.__class__(_each(s.tolist(), fn), index=s.index, dtype=object)
+    Folding plain texts is left to an Arrow kernel, as lower case and full folding agree on ASCII.
+    """
+    fields = df.schema.fields
+    names = [f.name for f in fields]
 
-    return df.withColumns({c: form(F.col(c)) for c in columns})
+    def run(b: pa.RecordBatch):
+        out = {c: b[c] for c in names}
+        for c in columns:
+            out[c] = _put(b[c], *changed(b[c], canonical))
+            if folded:
+                out[c + folded] = _put(pc.ascii_lower(b[c]), *changed(b[c], comparable))
+        return out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + "".join(f", `{c}{folded}` string" for c in columns if folded)
+    return arrow_map(df, run, schema)

@@ -21,7 +21,7 @@ def queries() -> dict:
         "p6_found": lambda s, d: sitelines.p6_found(t(s, d, "articles")),
         "p6_cleaned": lambda s, d: sitelines.cleaned(t(s, d, "articles"), sitelines.p6_found(t(s, d, "articles"))),
         "p7_found": lambda s, d: lookalike.p7_found(t(s, d, "articles")),
-        "p7_consistent": lambda s, d: lookalike.consistent(t(s, d, "articles").select("id", "title", "content"), ["title", "content"]),
+        "p7_consistent": lambda s, d: lookalike.consistent(t(s, d, "articles").select("id", "title", "content"), ["title", "content"], "_folded"),
         "p8_ids": lambda s, d: bpe.p8_ids(t(s, d, "documents")),
         "p9_found": lambda s, d: leakage.p9_found(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_report": lambda s, d: leakage.p9_report(t(s, d, "documents"), t(s, d, "eval_items")),

@@ -4,7 +4,9 @@ Every line is brought to its *form* (lower case, no 0-9, white space collapsed),
 content-defined chunks: a cut stands where a 16-byte rolling gear hash hits a mask, restarted at each line, so equal
 forms give equal chunks wherever they stand. Distinct documents are counted per (source, chunk); a line can only be
 repeated excessively if all its chunks are, so lines with a rare chunk are ruled out without ever moving their text.
-The lines left are confirmed: distinct documents per (source, form), forms by 128 bits of hash.
+Only narrow keys of lines ever move: a line is looked up by its first and its last chunk among those of its source, which
+spreads a large source over all its chunks. The lines left are confirmed: distinct documents per (source, form), forms by
+128 bits of hash.
 
 Defined results: null or blank contents, null sources and lines with an empty form have no rows; copies of a row count
 once (documents are distinct ids); other columns are ignored.
@@ -12,15 +14,16 @@ once (documents are distinct ids); other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrow import arrow_map
+from tidemark.llm.rolling import Rolling, byte_table
 from tidemark.session import cut_lineage
 
 #: Bytes of the rolling window, which are also the least size of a chunk.
@@ -36,13 +39,7 @@ _SPACES = [c for c in map(chr, [*range(9, 10), *range(11, 14), *range(28, 32), 0
 _RUN = re.compile(" {2,}")
 
 
-def _gear(seed: bytes, dtype):
-    raw = b"".join(hashlib.blake2b(seed + bytes([i]), digest_size=8).digest() for i in range(256))
-    return np.frombuffer(raw, np.uint64).astype(dtype)
-
-
-GEAR, MIX = _gear(b"gear", np.uint32), _gear(b"mix", np.uint64)
-_R = np.uint64(0x9E3779B97F4A7C15)
+GEAR = byte_table(b"gear", np.uint32)
 
 
 def forms(text: str) -> list[str]:
@@ -81,20 +78,7 @@ def chunk_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(cut)
     begin = np.union1d(starts, at)
     end = np.append(begin[1:], n)
-    power = np.cumprod(np.full(n, _R, np.uint64))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(MIX[buf] * power, dtype=np.uint64)])
-    # power is odd, so dividing by it is multiplying by its inverse: a chunk's hash doesn't depend on its place
-    inv = np.uint64(pow(int(_R), -1, 2**64))
-    inverse = np.cumprod(np.full(n, inv, np.uint64))
-    v = (total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)
-    v ^= v >> np.uint64(29)
-    v *= np.uint64(0xBF58476D1CE4E5B9)
-    v ^= v >> np.uint64(32)
-    return v.view(np.int64), line_of[begin]
-
-
-def _texts(b: pa.RecordBatch):
-    return b["id"].to_pylist(), b["source_uri"].to_pylist(), b["content"].to_pylist()
+    return Rolling(buf).of(begin, end), line_of[begin]
 
 
 def chunk_rows(articles: DataFrame) -> DataFrame:
@@ -129,8 +113,8 @@ def _excessive(counts: DataFrame, sizes: DataFrame, min_ids: int, share: float)
     return counts.join(sizes, "source_uri").where((F.col("n") >= min_ids) & (F.col("n") * 1_000_000 >= F.lit(round(share * 1_000_000)) * F.col("n_ids")))
 
 
-def candidate_lines(articles: DataFrame) -> DataFrame:
-    """(source_uri, id, line_no, form, chunks): every non-empty line with its chunks."""
+def line_keys(articles: DataFrame) -> DataFrame:
+    """(source_uri, id, line_no, f1, f2, first, last): every non-empty line by the hash of its form and its outer chunks."""
     src = articles.where("source_uri is not null and content is not null and id is not null").select("id", "source_uri", "content")
 
     def run(b: pa.RecordBatch):
@@ -143,13 +127,13 @@ def candidate_lines(articles: DataFrame) -> DataFrame:
         chunks, line = chunk_hashes(flat)
         rows, first, n = np.unique(line, return_index=True, return_counts=True)
         take = pa.array(np.asarray(owner, np.int64)[rows])
-        offsets = pa.array(np.append(first, len(chunks)).astype(np.int32))
+        form = np.frombuffer(b"".join([xxhash.xxh3_128_digest(flat[r].encode("utf-8", "surrogatepass")) for r in rows.tolist()]), np.int64).reshape(-1, 2)
         return {
             "source_uri": b["source_uri"].take(take), "id": b["id"].take(take), "line_no": pa.array(np.asarray(number, np.int32)[rows]),
-            "form": pa.array([flat[r] for r in rows], pa.string()), "chunks": pa.ListArray.from_arrays(offsets, pa.array(chunks)),
+            "f1": form[:, 0], "f2": form[:, 1], "first": chunks[first], "last": chunks[first + n - 1],
         }
 
-    return arrow_map(src, run, "source_uri string, id string, line_no int, form string, chunks array<long>")
+    return arrow_map(src, run, "source_uri string, id string, line_no int, f1 long, f2 long, first long, last long")
 
 
 def _small(measured: DataFrame, df: DataFrame) -> DataFrame:
@@ -166,10 +150,11 @@ def p6_found(articles: DataFrame, min_ids: int = MIN_IDS, share: float = MIN_SHA
     sizes = cut_lineage(distinct_ids(articles))
     counts = chunk_rows(articles).dropDuplicates(["source_uri", "chunk", "h"]).groupBy("source_uri", "chunk").agg(F.count(F.lit(1)).alias("n"))
     often = cut_lineage(_excessive(counts, sizes, min_ids, share).select("source_uri", "chunk"))
-    # a line is a candidate if all its chunks are excessive; a source's set of them is bounded whatever its size
-    per_source = _small(often, often.groupBy("source_uri").agg(F.collect_set("chunk").alias("often")))
-    lines = candidate_lines(articles).join(per_source, "source_uri").where(F.forall("chunks", lambda c: F.array_contains("often", c)))
-    whole = cut_lineage(lines.select("source_uri", "id", "line_no", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(7), F.col("form")).alias("f2")))
+    # a line whose form is excessive has no other chunks, so its first and its last one are among them
+    lines = line_keys(articles)
+    for c in ("first", "last"):
+        lines = lines.join(_small(often, often.withColumnRenamed("chunk", c)), ["source_uri", c], "left_semi")
+    whole = cut_lineage(lines.select("source_uri", "id", "line_no", "f1", "f2"))
     exact = whole.select("source_uri", "f1", "f2", F.xxhash64("id").alias("h")).dropDuplicates().groupBy("source_uri", "f1", "f2").agg(F.count(F.lit(1)).alias("n"))
     frequent = cut_lineage(_excessive(exact, sizes, min_ids, share).select("source_uri", "f1", "f2"))
     return whole.join(_small(frequent, frequent), ["source_uri", "f1", "f2"]).select("id", "line_no").dropDuplicates()
