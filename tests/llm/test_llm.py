@@ -285,7 +285,8 @@ def test_checks_like_plain_tables():
 @pytest.mark.parametrize(
     "good, by, written",
     [("déclaré", "cp1252", "utf-8"), ("déclaré", "cp437", "utf-8"), ("première", "mac_roman", "utf-8"), ("Областное управление", "cp1251", "utf-8"), ("Областное", "latin-1", "cp1251"), ("farmers’", "cp1252", "utf-8"),
-     ("PflegekrÃ¤ften", "cp1252", "utf-8"), ("déclaré", "cp1251", "cp1252"), ("días", "cp850", "cp1252")],
+     ("PflegekrÃ¤ften", "cp1252", "utf-8"), ("déclaré", "cp1251", "cp1252"), ("días", "cp850", "cp1252"), ("“Nobody", "mac_roman", "cp1252"), ("–", "cp437", "cp1252"), ("für", "cp850", "cp1252"), ("farmers’", "mac_roman", "cp1252"),
+     ("erklärte", "cp850", "cp1252"), ("exaustão", "mac_roman", "cp1252"), ("L’ufficio", "cp850", "cp1252"), ("Verzögerung", "cp850", "cp1252")],
 )
 def test_mojibake(good, by, written):
     bad = good.encode(written).decode(by, "replace")
@@ -293,7 +294,28 @@ def test_mojibake(good, by, written):
     assert mojibake.restored_text(bad) in (good, "Pflegekräften")
 
 
-@pytest.mark.parametrize("text", ["NÃO À SECA", "été", "tôt", "L’étude “x” – y", "健康诊所报告了登革热", "Областное управление", "स्वास्थ्य केंद्र", "ศูนย์สุขภาพ", "보건소", "CO₂ 25 °C ½ m²", "👩🏽‍🌾 🌍", "AT&amp;T &nbsp; x", "ação coração", "Straße", "« Nous »"])
+def test_search_finds_the_cheapest_text():
+    """Against every path of up to three readings, however the states are reached."""
+    def all_paths(token):
+        best, todo, dist = (mojibake.cost(token) - mojibake.MARGIN, None), [(token, 0.0, False)], {token: 0.0}
+        for _ in range(3):
+            more = []
+            for text, paid, read in todo:
+                for out, price, reading in mojibake._steps(text, 1e9):
+                    now, c = paid + price, paid + price + mojibake.cost(out)
+                    if (read or reading) and c < best[0]:
+                        best = (c, out)
+                    if c < mojibake.cost(token) + mojibake.SLACK and now < dist.get(out, 1e9):
+                        dist[out] = now
+                        more.append((out, now, read or reading))
+            todo = more
+        return best[1]
+
+    for token in ("Ã©t", "ìNo", "dÃ­as", "f³r", "plano", "é", "ÃÂ©", "ñ", "Îáë", "&Atilde;&copy;"):
+        assert mojibake.restore(token) == all_paths(token), token
+
+
+@pytest.mark.parametrize("text", ["NÃO À SECA", "été", "tôt", "L’étude “x” – y", "健康诊所报告了登革热", "Областное управление", "स्वास्थ्य केंद्र", "ศูนย์สุขภาพ", "보건소", "CO₂ 25 °C ½ m²", "👩🏽‍🌾 🌍", "AT&amp;T &nbsp; x", "ação coração", "Straße", "« Nous »", "l&#39;étude, d&#39;épuisement", "così virtù São põe você allô", "así, sí", "Malmö Hawaï canoë col·lecció dû crû", "5·10 m²", "x" * 5000 + "é", "健" * 3000])
 def test_not_mojibake(text):
     assert not mojibake.garbled(text) and mojibake.restored_text(text) == text
 

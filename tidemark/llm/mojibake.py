@@ -1,14 +1,17 @@
 """Text read under a wrong character encoding (problem 10): best-first search for the cheapest reachable text.
 
-A token (a run without blanks) that holds an unusual neighbourhood of characters is the start of a graph whose edges
-undo one wrong reading (encode with the codec it was read by, decode with the one it was written in) or one escape.
-States are visited once (hash set) and expanded in the order of their cost: how implausible the characters and their
-neighbours are, plus what the edges taken so far cost. A token is garbled if a text at the end of at least one reading is
-clearly cheaper than the token. Each distinct token is searched once per worker (bounded cache).
+Every token (a run without blanks) that isn't plain ASCII is the start of a graph whose edges undo one wrong reading (encode
+with the codec it was read by, decode with the one it was written in) or one escape. States are visited once (hash set)
+and expanded in the order of their cost: how implausible the characters and their neighbours are, plus what the edges taken
+so far cost. The search ends when nothing is left to expand: a state whose edges alone cost as much as the best text found
+can't lead to a cheaper one, and texts more than ``SLACK`` dearer than the token are no way to anywhere. Both are told from
+the bytes before a text is even decoded, as no character costs less than its kind's least. There is no limit on steps or states.
+A token is garbled if a text at the end of at least one reading is clearly cheaper than the token. Each distinct
+token is searched once per worker (bounded cache).
 
 Replacement characters and C1 controls result from a wrong reading by themselves, restorable or not. Character entities,
 emoji, foreign scripts and accented capitals aren't cases: no reading leads from them to cheaper text.
-Defined results: null and empty texts are never cases and are returned as they are.
+Defined results: null and empty texts are never cases and are returned as they are; null keys have rows like others.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ WRITTEN_IN = {"utf-8": 0.5, "cp1251": 5.0, "gbk": 5.0, "cp1252": 7.0, "koi8-r":
 #: Cheaper steps: confusions that are common and leave a plain trace.
 CHEAP = {("mac_roman", "cp1252"): 2.8, ("cp850", "cp1252"): 2.8, ("cp437", "cp1252"): 2.8, ("cp1251", "cp1252"): 4.0, ("cp1251", "koi8-r"): 3.0, ("koi8-r", "cp1251"): 3.0, ("gb18030", "cp1252"): 4.0,
          ("cp1252", "mac_roman"): 4.0, ("cp1252", "cp850"): 4.0, ("latin-1", "cp1252"): 2.0}
-MARGIN = 0.6
-DEPTH = 4
-STATES = 400
-CACHE = 200_000
+#: So much cheaper a text must be; so much dearer a text on the way may be.
+MARGIN, SLACK = 0.6, 12.0
+#: Remembered tokens, and the longest of them.
+CACHE, LONGEST = 200_000, 64
 
 _COMMON = set("àáâãäçèéêëìíîïñòóôõöùúûüßœæ")
 _COMMON_UP = {c.upper() for c in _COMMON if len(c.upper()) == 1}
@@ -127,9 +130,33 @@ def script(c: str) -> str:
     return "G" if 0x370 <= o < 0x400 else "C" if 0x400 <= o < 0x530 else "H" if 0x2E80 <= o < 0xA000 else "X"
 
 
+#: Accented letters that are no word by themselves in the languages of the corpus.
+_NEVER_ALONE = set("ûñïîìíëùåøþðæâãõÿüúçòËÏÛÑÎÌÍÙÅÆÂÃÕÜÚÇÒ")
+#: Places where a common accented letter doesn't stand in the words of these languages: what is there instead was read wrongly.
+_MISPLACED = re.compile(
+    "(?<=[^\\W\\d_])(?!(?<=l)·l)[\u00a1-\u00bf\u2018\u201a-\u201f\u2020-\u2022\u2030-\u203a](?=[^\\W\\d_])"  # a sign inside a word, other than an apostrophe or dash
+    "|(?<=[^\\W\\d_])[À-ÖØ-Þ](?=[a-z])"  # a capital inside a word
+    "|[^\\W\\d_]{3}(?<!all)[îôûñâõ](?![^\\W\\d_])"  # at its end
+    "|[.,!?][À-ÖØ-öø-ÿ](?![^\\W\\d_])|(?<=[^\\W\\d_])[¡¿]"  # a lone letter after a stop, an opening mark after a letter
+    "|õ(?![es])|[bcdfghjklmnpqrtvwxz]sí(?![^\\W\\d_])|[^\\W\\d_]{4}[bcdfghjklmnpqrtvwxz]ís(?![^\\W\\d_])"
+)
+_HIGH = bytes(range(128, 256))
+
+
+def least_cost(raw: bytes, codec: str) -> float:
+    """Less than which no text costs that ``raw`` decodes to."""
+    low = len(raw.translate(None, _HIGH))
+    return 0.2 * low + (len(raw) - low) * (0.5 if codec == "utf-8" else 0.75 if codec == "gbk" else 1.0)
+
+
 def cost(text: str) -> float:
     """How implausible a token is: its characters, changes of script and case inside words, rows of accented letters."""
     total, row, last, low_start = 0.0, 0, "", False
+    if not text.isascii():
+        if len(text) == 1 and text in _NEVER_ALONE:
+            total = 5.0
+        else:
+            total = 4.0 * len(_MISPLACED.findall(text))
     for c in text:
         total += char_cost(c)
         s = script(c)
@@ -151,8 +178,8 @@ def cost(text: str) -> float:
     return total
 
 
-def _steps(text: str):
-    """Texts one wrong reading or escape away, with the cost of the step and whether it is a reading."""
+def _steps(text: str, most: float):
+    """Texts one wrong reading or escape away that may cost less than ``most`` in all, with the cost of the step and whether it is a reading."""
     if "&" in text and (u := html.unescape(text)) != text:
         yield u, 1.0, False
     if text.isascii():
@@ -164,62 +191,41 @@ def _steps(text: str):
         for codec, price in WRITTEN_IN.items():
             if codec == by or (codec in ("cp1252", "cp850", "mac_roman") and by in ("latin-1", "iso8859-15") and not any(128 <= x < 160 for x in raw)):
                 continue
+            price = CHEAP.get((by, codec), price)
+            if price + least_cost(raw, codec) >= most:
+                continue
             try:
                 out = raw.decode(codec)
             except UnicodeDecodeError:
                 continue
             if out != text:
-                yield out, CHEAP.get((by, codec), price), True
+                yield out, price, True
 
 
 def restore(token: str) -> str | None:
     """The cheapest text behind a garbled token; None where the token isn't garbled."""
     start = cost(token)
     best, found = start - MARGIN, None
-    heap, seen, n, tick = [(start, 0, token, 0.0, 0, False)], {token}, 0, 0
-    while heap and n < STATES:
-        _, _, text, paid, depth, read = heapq.heappop(heap)
-        n += 1
-        if depth == DEPTH:
+    heap, seen, tick = [(start, 0, token, 0.0, False)], {token: 0.0}, 0
+    while heap:
+        _, _, text, paid, read = heapq.heappop(heap)
+        if paid >= best or paid > seen[text]:
             continue
-        for out, price, reading in _steps(text):
-            if out in seen:
-                continue
-            seen.add(out)
+        for out, price, reading in _steps(text, start + SLACK - paid):
             now = paid + price
+            if now >= min(best, seen.get(out, best)):
+                continue
+            seen[out] = now  # a text is visited again only by a cheaper way
             c = cost(out) + now
             # what an escape alone gains doesn't count: the reading must pay for itself
             if (read or reading) and c < best:
                 best, found = c, out
-            tick += 1
-            if c < start + 12:
-                heapq.heappush(heap, (c, tick, out, now, depth + 1, read or reading))
+            if c < start + SLACK:
+                tick += 1
+                heapq.heappush(heap, (c, tick, out, now, read or reading))
     return found
 
 
-def _pairs() -> str:
-    """Regular expression of a lead byte's character followed by a continuation byte's, for every single-byte reading."""
-    out = set()
-    for codec in _SINGLE.keys() - {"cp866"}:  # whose bytes are Cyrillic letters in both places; box drawing gives it away
-        back = {b: c for c, b in reversed(list(_SINGLE[codec].items())) if b >= 128}
-        lead = "".join(sorted(re.escape(back[b]) for b in range(0xC2, 0xF5) if b in back))
-        cont = "".join(sorted(re.escape(back[b]) for b in range(0x80, 0xC0) if b in back))
-        out.add(f"[{lead}][{cont}]")
-    return "|".join(sorted(out))
-
-
-_ODD = "‚ƒ„†‡ˆ‰‹•˜›¢£¤¥¦§¨©¬®¯±´µ¶¸¹¼¾¡¿ªº"
-_TRIGGER = re.compile(
-    _pairs()
-    + "|[\\x80-\\x9f�]"
-    + "|[\\u00a1-\\u00ff]{3}"
-    + "|[A-Za-z\\u00c0-\\u024f][\\u0370-\\u052f\\u2500-\\u259f\\u3400-\\u9fff\\ue000-\\uf8ff]|[\\u0370-\\u052f\\u2500-\\u259f\\u3400-\\u9fff\\ue000-\\uf8ff][A-Za-z\\u00c0-\\u024f]"
-    + "|[a-z\\u00df-\\u00ff][\\u00c0-\\u00deŠŽŸ]"
-    + f"|[A-Za-z\\u00c0-\\u024f][{re.escape(_ODD)}][A-Za-z\\u00c0-\\u024f]"
-    + "|[A-Za-z\\u00c0-\\u024f][ðþýÐÞÝåøÆØ\\u02c6-\\u02dd]|[ðþýÐÞÝåøÆØ\\u02c6-\\u02dd][A-Za-z\\u00c0-\\u024f]|(?<![^ ])[ÞÐþðý](?![^ ])"
-    + "|[а-яё][А-ЯЁ]|[\\u2500-\\u259f]"
-    + "|&[A-Za-z]{2,6};&[A-Za-z]{2,8};"
-)
 _SURE = re.compile("[\\x80-\\x9f�]")
 _TOKEN = re.compile(r"[^ \t\n\r]+")
 _HAN_RUN = re.compile("[^\\x00-\\x7f，。：；？！（）“”]{2,}")
@@ -248,36 +254,38 @@ def _token_text(token: str) -> str:
     """A token with its garbled parts restored; text without blanks is taken from one stop to the next."""
     got = _known.get(token)
     if got is None:
-        if len(_known) > CACHE:
-            _known.clear()
         got = token
-        if _TRIGGER.search(token):
-            parts = _STOPS.split(token)
-            got = "".join((restore(x) or x) if _TRIGGER.search(x) else x for x in parts)
+        parts = _STOPS.split(token)
+        got = "".join((restore(x) or x) if not x.isascii() or "&" in x else x for x in parts)
         if _HAN.search(got):
             for a, b, back in reversed(_han_readings(got)):
                 got = got[:a] + back + got[b:]
-        _known[token] = got
+        if len(token) <= LONGEST:
+            if len(_known) >= CACHE:
+                _known.clear()
+            _known[token] = got
     return got
 
 
 _STOPS = re.compile("([，。])")
 
 
-def garbled(text: str) -> bool:
+def changes(text: str) -> dict[str, str]:
+    """Garbled tokens of a text and what they come out as; each distinct token is looked at once."""
     if text.isascii() and "&" not in text:
-        return False
-    if _SURE.search(text):
-        return True
+        return {}
     words = set(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-    return any((not w.isascii() or "&" in w) and _token_text(w) != w for w in words)
+    return {w: t for w in words if (not w.isascii() or "&" in w) and (t := _token_text(w)) != w}
+
+
+def garbled(text: str) -> bool:
+    return bool(_SURE.search(text) or changes(text))
 
 
 def restored_text(text: str) -> str:
     """The text with every garbled token restored as far as it can be."""
-    if text.isascii() and "&" not in text:
-        return text
-    return _TOKEN.sub(lambda m: m.group() if m.group().isascii() and "&" not in m.group() else _token_text(m.group()), text)
+    new = changes(text)
+    return _TOKEN.sub(lambda m: new.get(m.group(), m.group()), text) if new else text
 
 
 def p10_found(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
