@@ -38,7 +38,7 @@ from tidemark.functions.arrow import arrow_map
 
 RUN = 13
 #: Least rank of a basis, and the share of each item passage's length that a basis has to keep.
-RANK, KEPT = 96, 0.7
+RANK, KEPT = 96, 0.5
 COSINE = 0.22
 FIT_DOCS = 4000
 #: Passages of items that share a basis, and words of the items searched for in one pass.
@@ -158,9 +158,12 @@ def candidates(coded: np.ndarray, n: np.ndarray, b: Basis):
     if not keep.any():
         return []
     start, end, text, norm = start[keep], end[keep], text[keep], np.sqrt(norm2[keep])
+    # only words of the vocabulary are projected; every passage left has some
     size = end - start
-    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    low = np.add.reduceat(b.matrix[coded[at]], np.cumsum(size) - size, axis=0)
+    word = coded[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    known = word < len(b.words)
+    first = np.concatenate([[0], np.cumsum(np.add.reduceat(known, np.cumsum(size) - size, dtype=np.int64))[:-1]])
+    low = np.add.reduceat(b.matrix[word[known]], first, axis=0)
     near = np.linalg.norm(low, axis=1) >= COSINE * norm * 0.999
     out = []
     for k in np.array_split(np.flatnonzero(near), max(1, int(near.sum()) // 2000)):
