@@ -148,6 +148,10 @@ def test_languages(spark, samples):
     a = articles(spark, [("ok", None, e, "s", "EN", "feed"), ("none", None, e, "s", None, "feed"), ("wrong", None, s, "s", "eng", "feed"), ("mix", None, e + "\n" + e + "\n\n" + s, "s", "en-GB", "feed")])
     got = {(r.id, r.line_no, r.lang) for r in langid.p5_found(a, samples).collect()}
     assert got == {("none", 0, "eng"), ("wrong", 0, "spa"), ("mix", 4, "spa")}
+    two = articles(spark, [("two", None, e + " " + e + " " + s + "\n" + e, "s", "eng", "feed"), ("blank", None, " \n ", "s", "eng", "feed"), ("none", None, None, "s", "eng", "feed")])
+    got = sorted((r.line_no, r.start, r.length, r.lang) for r in langid.p5_segments(two.union(two), samples).collect())
+    assert got == [(1, 1, 2 * len(e) + 2, "eng"), (1, 2 * len(e) + 3, len(s), "spa"), (2, 1, len(e), "eng")]
+    assert langid.p5_segments(two, samples.limit(0)).count() == 0
     conf = [r.confidence for r in langid.p5_languages(a, samples).collect()]
     assert all(0 < c <= 1 for c in conf)
 

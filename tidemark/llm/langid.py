@@ -8,12 +8,16 @@ byte and a sum per line, all in numpy. The language of a line is the one with th
 smoothed by a shortest path that pays ``SWITCH`` bits for each change of language, so that single short lines lean on
 their neighbours. A document's main language holds most of its bytes.
 
+``p5_found`` and ``p5_languages`` work on lines; ``p5_segments`` cuts lines at the ends of sentences as well and unites neighbours of
+one language, so that a line of two languages comes out as two segments with their places.
+
 Training takes at most ``MAX_SAMPLES`` labelled rows (lowest ids first), a documented bound; nothing else is sampled.
 Defined results: null and blank contents have no rows; blank lines have no language; without samples there are no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -28,7 +32,6 @@ SWITCH = 14.0
 LEAST_BITS = 24.0
 LEAST_RATE = 3.2
 MAX_SAMPLES = 4000
-LANGS = ["deu", "eng", "fra", "ita", "por", "rus", "spa", "zho"]
 # Spellings of the labels, by ISO 639-3 code.
 SPELLINGS = {
     "eng": "eng en english", "spa": "spa es spanish español espanol castellano", "por": "por pt portuguese português portugues",
@@ -53,8 +56,6 @@ def label_code(label: str | None) -> str | None:
 class _Grams:
     """Open-addressed lookup from n-gram keys of one length to row numbers."""
 
-    BITS = 20
-
     def __init__(self, keys: np.ndarray, rows: np.ndarray):
         self.bits = max(8, int(np.ceil(np.log2(max(1, len(keys)) * 6))))
         self.slot_row = np.full(1 << self.bits, -1, np.int32)
@@ -280,6 +281,51 @@ def _labelled(articles: DataFrame, model: Model, findings_only: bool) -> DataFra
     return arrow_map(src, run, "id string, line_no int, lang string, confidence double", rows=50)
 
 
+_SENTENCE_END = re.compile("(?<=[.!?])[\"'”»’)\\]]*\\s+|(?<=[。！？])[”』」）]*")
+
+
+def sentence_spans(line: str) -> list[tuple[int, int]]:
+    """[start, end) of the sentences of a line that hold anything but blanks."""
+    cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(line)), len(line)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if line[a:b].strip()]
+
+
+def p5_segments(articles: DataFrame, lang_samples: DataFrame) -> DataFrame:
+    """(id, line_no, start, length, lang, confidence): runs of sentences of one language in each line; start counts characters from 1.
+
+    Exact copies of a row give one set of rows; two contents of one id give the rows of both.
+    """
+    model = train(lang_samples)
+    schema = "id string, line_no int, start int, length int, lang string, confidence double"
+    if not model.langs:
+        return articles.sparkSession.createDataFrame([], schema)
+    held = articles.sparkSession.sparkContext.broadcast(model)  # bounded by max_samples
+
+    def run(b: pa.RecordBatch):
+        m, contents = held.value, b["content"].to_pylist()
+        places = [[(no, a, e) for no, line in enumerate(c.split("\n"), 1) for a, e in sentence_spans(line)] for c in contents]
+        texts = []
+        for c, spans in zip(contents, places):
+            lines = c.split("\n")
+            texts.append("\n".join(lines[no - 1][a:e].replace("\r", " ") for no, a, e in spans))
+        out = {k: [] for k in ("row", "line_no", "start", "length", "lang", "bits")}
+        for i, found in enumerate(segment(m, texts)):
+            for k, p, x in found[2] if found else ():
+                no, a, e = places[i][k - 1]
+                if out["row"] and out["row"][-1] == i and out["line_no"][-1] == no and out["lang"][-1] == p:
+                    out["length"][-1] = e - out["start"][-1] + 1
+                    out["bits"][-1] = out["bits"][-1] + x
+                else:
+                    for name, v in zip(out, (i, no, a + 1, e - a, p, x)):
+                        out[name].append(v)
+        sure = [float(1.0 / np.exp2(-np.clip(x - x[p], -60, 60)).sum()) for p, x in zip(out["lang"], out["bits"])]
+        return {"id": b["id"].take(pa.array(out["row"], pa.int64())), "line_no": out["line_no"], "start": out["start"], "length": out["length"],
+                "lang": [m.langs[p] for p in out["lang"]], "confidence": sure}
+
+    src = articles.where("id is not null and content is not null").select("id", "content")
+    return arrow_map(src, run, schema, rows=50).distinct()
+
+
 def p5_languages(articles: DataFrame, lang_samples: DataFrame) -> DataFrame:
     """(id, line_no, lang, confidence): line 0 is the document, every other row one of its lines."""
     return _labelled(articles, train(lang_samples), False).dropDuplicates(["id", "line_no", "lang"])

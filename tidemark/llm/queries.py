@@ -18,6 +18,7 @@ def queries() -> dict:
         "p4_tokens": lambda s, d: bpe.p4_tokens(t(s, d, "articles")),
         "p5_found": lambda s, d: langid.p5_found(t(s, d, "articles"), t(s, d, "lang_samples")),
         "p5_languages": lambda s, d: langid.p5_languages(t(s, d, "articles"), t(s, d, "lang_samples")),
+        "p5_segments": lambda s, d: langid.p5_segments(t(s, d, "articles"), t(s, d, "lang_samples")),
         "p6_found": lambda s, d: sitelines.p6_found(t(s, d, "articles")),
         "p6_cleaned": lambda s, d: sitelines.cleaned(t(s, d, "articles"), sitelines.p6_found(t(s, d, "articles"))),
         "p7_found": lambda s, d: lookalike.p7_found(t(s, d, "articles")),
