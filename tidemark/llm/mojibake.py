@@ -130,6 +130,16 @@ def script(c: str) -> str:
     return "G" if 0x370 <= o < 0x400 else "C" if 0x400 <= o < 0x530 else "H" if 0x2E80 <= o < 0xA000 else "X"
 
 
+class _Chars(dict):
+    """What ``cost`` asks of a character, worked out once."""
+
+    def __missing__(self, c: str):
+        s = script(c)
+        got = self[c] = (char_cost(c), s, c.islower(), c.isupper(), s == "L" and ord(c) > 127)
+        return got
+
+
+_known_char = _Chars().__getitem__
 #: Accented letters that are no word by themselves in the languages of the corpus.
 _NEVER_ALONE = set("ûñïîìíëùåøþðæâãõÿüúçòËÏÛÑÎÌÍÙÅÆÂÃÕÜÚÇÒ")
 #: Places where a common accented letter doesn't stand in the words of these languages: what is there instead was read wrongly.
@@ -140,6 +150,7 @@ _MISPLACED = re.compile(
     "|[.,!?][À-ÖØ-öø-ÿ](?![^\\W\\d_])|(?<=[^\\W\\d_])[¡¿]"  # a lone letter after a stop, an opening mark after a letter
     "|õ(?![es])|[bcdfghjklmnpqrtvwxz]sí(?![^\\W\\d_])|[^\\W\\d_]{4}[bcdfghjklmnpqrtvwxz]ís(?![^\\W\\d_])"
 )
+_LATIN = re.compile("[A-Za-zÀ-ÿ]")
 _HIGH = bytes(range(128, 256))
 
 
@@ -155,31 +166,40 @@ def cost(text: str) -> float:
     if not text.isascii():
         if len(text) == 1 and text in _NEVER_ALONE:
             total = 5.0
-        else:
+        elif _LATIN.search(text):
             total = 4.0 * len(_MISPLACED.findall(text))
+    last_s, last_lower = "", False
     for c in text:
-        total += char_cost(c)
-        s = script(c)
+        price, s, lower, upper, accented = _known_char(c)
+        total += price
         if last:
-            t = script(last)
-            if s and t and s != t:
-                total += 6.0 if "H" not in (s, t) else 3.0
-            elif s and t and s != "H" and last.islower() and c.isupper():
+            if s and last_s and s != last_s:
+                total += 6.0 if s != "H" != last_s else 3.0
+            elif s and last_s and s != "H" and last_lower and upper:
                 total += 4.0
                 low_start = True
-            elif low_start and s == "C" and c.isupper():
+            elif low_start and upper and s == "C":
                 total += 1.5
             elif not s:
                 low_start = False
-        row = row + 1 if s == "L" and ord(c) > 127 else 0
-        if row >= 3:
-            total += 3.0
-        last = c
+        if accented:
+            row += 1
+            if row >= 3:
+                total += 3.0
+        else:
+            row = 0
+        last, last_s, last_lower = c, s, lower
     return total
 
 
-def _steps(text: str, most: float):
-    """Texts one wrong reading or escape away that may cost less than ``most`` in all, with the cost of the step and whether it is a reading."""
+_PRICES = {by: [(codec, CHEAP.get((by, codec), price)) for codec, price in WRITTEN_IN.items() if codec != by] for by in READ_BY}
+
+
+def _steps(text: str, most: float, dearest: float = 1e9):
+    """Texts one wrong reading or escape away, with the cost of the step and whether it is a reading.
+
+    Only those that may cost less than ``most`` in all, by steps that cost less than ``dearest``.
+    """
     if "&" in text and (u := html.unescape(text)) != text:
         yield u, 1.0, False
     if text.isascii():
@@ -188,11 +208,10 @@ def _steps(text: str, most: float):
         raw = _encode(text, by)
         if raw is None:
             continue
-        for codec, price in WRITTEN_IN.items():
-            if codec == by or (codec in ("cp1252", "cp850", "mac_roman") and by in ("latin-1", "iso8859-15") and not any(128 <= x < 160 for x in raw)):
+        for codec, price in _PRICES[by]:
+            if (codec in ("cp1252", "cp850", "mac_roman") and by in ("latin-1", "iso8859-15") and not any(128 <= x < 160 for x in raw)):
                 continue
-            price = CHEAP.get((by, codec), price)
-            if price + least_cost(raw, codec) >= most:
+            if price >= dearest or price + least_cost(raw, codec) >= most:
                 continue
             try:
                 out = raw.decode(codec)
@@ -211,7 +230,7 @@ def restore(token: str) -> str | None:
         _, _, text, paid, read = heapq.heappop(heap)
         if paid >= best or paid > seen[text]:
             continue
-        for out, price, reading in _steps(text, start + SLACK - paid):
+        for out, price, reading in _steps(text, start + SLACK - paid, best - paid):
             now = paid + price
             if now >= min(best, seen.get(out, best)):
                 continue
