@@ -32,7 +32,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6, "p9_found": P9}
+    return {"p6_found": P6, "p6_cleaned": P6_CLEANED, "p7_found": P7, "p9_found": P9}
 
 
 # Lines by their form, as TESTDATA.md defines them; RE2's [:space:] plus the wider blanks stand for white space.
@@ -52,6 +52,24 @@ often AS (
 SELECT DISTINCT f.id AS id, CAST(f.line_no AS INTEGER) AS line_no FROM forms f JOIN often o ON f.source_uri = o.source_uri AND f.form = o.form
 """
 
+P6_CLEANED = (
+    "WITH gone AS (SELECT id, list(line_no) AS g FROM (" + P6 + """) GROUP BY id)
+SELECT a.id, CASE WHEN g IS NULL THEN content ELSE array_to_string(list_filter(string_split(content, chr(10)), lambda x, i: NOT list_contains(g, CAST(i AS INTEGER))), chr(10)) END AS content
+FROM articles a LEFT JOIN gone USING (id)"""
+)
+
+# Fields by classes of characters: not composed, blanks other than the usual one, characters that show nothing, forms of
+# other widths and styles, hyphens that look like the usual one, letters of two scripts side by side.
+P7 = r"""
+WITH f AS (SELECT DISTINCT id, 'title' AS field_name, title AS x FROM articles UNION SELECT DISTINCT id, 'content', content FROM articles)
+SELECT id, field_name FROM f WHERE id IS NOT NULL AND x IS NOT NULL AND (x <> nfc_normalize(x)
+  OR regexp_matches(x, '[\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')
+  OR regexp_matches(x, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{ad}\x{34f}\x{61c}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]')
+  OR regexp_matches(x, '[\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}\x{ff02}\x{ff07}\x{ff0e}\x{ff3b}-\x{ff40}\x{ff61}-\x{ffdc}\x{fb00}-\x{fb06}\x{1d400}-\x{1d7ff}\x{2100}-\x{2115}\x{2119}-\x{211d}\x{2124}-\x{2138}\x{2160}-\x{217f}\x{2010}\x{2011}]')
+  OR regexp_matches(x, '[\p{Latin}][\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][\p{Latin}]'))
+GROUP BY id, field_name
+"""
+
 # Runs of 13 words of documents and items, joined exactly.
 P9 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
