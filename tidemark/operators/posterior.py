@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.operators.sampling import bucketed_rank
 
 
 def inverse_logit(c):
@@ -52,13 +53,18 @@ def average_over(draws: DataFrame, level: str, levels: list, keys: list[str]) ->
     return summary(one, keys)
 
 
-def hdi(draws: DataFrame, keys: list[str], mass: float = 0.95, digits: int = 6) -> DataFrame:
-    """Mean, standard deviation and the narrowest interval that holds ``mass`` of the draws."""
-    w = Window.partitionBy(*keys).orderBy("value", "chain", "draw")
-    n = draws.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("sd"))
-    x = draws.withColumn("__i", F.row_number().over(w)).join(n, keys).withColumn("__k", F.floor(F.col("n") * mass).cast("int"))
-    ends = x.select(*keys, (F.col("__i") - F.col("__k")).alias("__i"), F.col("value").alias("high"))
-    both = x.select(*keys, "__i", F.col("value").alias("low"), "n", "mean", "sd").join(ends, [*keys, "__i"])
+def hdi(draws: DataFrame, keys: list[str], mass: float = 0.95, digits: int = 6, buckets: int = 256) -> DataFrame:
+    """Mean, standard deviation and the narrowest interval that holds ``mass`` of the draws; of equal ones the lowest.
+
+    Draws are ranked in ``buckets`` ranges of values between the least and the greatest of a key, and each is joined with the draw
+    so many ranks higher; nulls and NaN are left out.
+    """
+    x = draws.where("value is not null and not isnan(value)")
+    n = x.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("sd"), F.min("value").alias("__lo"), F.max("value").alias("__hi"))
+    at = F.coalesce(F.floor((F.col("value") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * buckets), F.lit(0))
+    x = bucketed_rank(x.join(n, keys), keys, at, ["value", "chain", "draw"]).withColumn("__k", F.floor(F.col("n") * mass).cast("int"))
+    ends = x.select(*keys, (F.col("__rank") - F.col("__k")).alias("__rank"), F.col("value").alias("high"))
+    both = x.select(*keys, "__rank", F.col("value").alias("low"), "n", "mean", "sd").join(ends, [*keys, "__rank"])
     best = both.groupBy(*keys).agg(F.min_by(F.struct("low", "high", "n", "mean", "sd"), F.struct(F.col("high") - F.col("low"), "low")).alias("b"))
     r = lambda c: F.round(c, digits)
     return best.select(*keys, r("b.mean").alias("mean"), r("b.sd").alias("sd"), r("b.low").alias("hdi_low"), r("b.high").alias("hdi_high"))

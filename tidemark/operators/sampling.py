@@ -38,30 +38,34 @@ def allocation(strata: DataFrame, keys: list[str], size: str, target: int, floor
 BUCKET_DIGITS = 3
 
 
-def _buckets(rows: DataFrame, keys: list[str], digits: int) -> DataFrame:
-    """(keys, __b, __before): rows of a group that stand in buckets before this one. The window runs over at most 16**digits counts of a group."""
-    n = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    return n.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__kb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+def with_rows_before(rows: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """``rows`` with ``__b``, their bucket, and ``__before``, the rows of their group in lower buckets.
 
-
-def _with_before(rows: DataFrame, keys: list[str], hash_: str, digits: int) -> DataFrame:
-    h = rows.withColumn("__b", F.substring(hash_, 1, digits))
-    c = _buckets(h, keys, digits)
-    on = h["__b"] == c["__kb"]
+    Rows are counted per group and bucket; the window runs over these counts, as many as there are buckets.
+    """
+    h = rows.withColumn("__b", bucket)
+    n = h.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    lower = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    c = n.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__kb"), F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__before"))
+    on = h["__b"].eqNullSafe(c["__kb"])
     for i, k in enumerate(keys):
         on = on & h[k].eqNullSafe(c[f"__k{i}"])
     return h.join(c, on, "left").drop("__kb", *[f"__k{i}" for i in range(len(keys))])
 
 
-def shuffled_rank(rows: DataFrame, keys: list[str], hash_: str, key: str, digits: int = BUCKET_DIGITS) -> DataFrame:
-    """``rows`` with ``__rank``, from 1: the place of a row in its group by ``hash_`` and ``key``.
+def bucketed_rank(rows: DataFrame, keys: list[str], bucket: Column, order: list[str]) -> DataFrame:
+    """``rows`` with ``__rank``, from 1: the place of a row in its group by ``order``, which ``bucket`` must follow.
 
-    Groups may be of any size: rows are ranked within a bucket of the hash, to which the counts of the buckets before are
-    added, so the largest group is sorted by 16**digits tasks instead of one.
+    Groups may be of any size: rows are ranked within a bucket, to which the counts of the buckets before are added, so the
+    largest group is sorted by as many tasks as it has buckets instead of one.
     """
-    within = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(hash_, key))
-    return _with_before(rows, keys, hash_, digits).withColumn("__rank", within + F.col("__before")).drop("__b", "__before")
+    within = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))
+    return with_rows_before(rows, keys, bucket).withColumn("__rank", within + F.col("__before")).drop("__b", "__before")
+
+
+def shuffled_rank(rows: DataFrame, keys: list[str], hash_: str, key: str, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """``bucketed_rank`` in the order of a hexadecimal hash; its first digits make the bucket."""
+    return bucketed_rank(rows, keys, F.substring(hash_, 1, digits), [hash_, key])
 
 
 def round_robin(rows: DataFrame, plan: DataFrame, keys: list[str], country: str, key: str, cap: int, seed: int, digits: int = BUCKET_DIGITS) -> DataFrame:
@@ -71,7 +75,7 @@ def round_robin(rows: DataFrame, plan: DataFrame, keys: list[str], country: str,
     begins beyond that are left out before anything is sorted, so the windows see a small multiple of the sample.
     """
     h = rows.join(plan.select(*keys, "n_sample"), keys).withColumn("__h", shuffle_key(seed, F.col(key)))
-    h = _with_before(h, [*keys, country], "__h", digits).where(F.col("__before") < F.col("n_sample")).drop("__b", "__before")
+    h = with_rows_before(h, [*keys, country], F.substring("__h", 1, digits)).where(F.col("__before") < F.col("n_sample")).drop("__b", "__before")
     h = h.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, country).orderBy("__h", key)) - 1).where(F.col("__i") < F.col("n_sample"))
     h = h.withColumn("__ch", shuffle_key(seed, F.col(country), *[F.col(k) for k in keys]))
     h = h.withColumn("__c", F.dense_rank().over(Window.partitionBy(*keys).orderBy("__ch", country)))

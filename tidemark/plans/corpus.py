@@ -14,6 +14,7 @@ from tidemark.sources import sinks
 LABELS = ["climate_change", "health", "health_effects_of_climate_change", "health_effects_of_extreme_weather"]
 AVAILABLE = ["eng", "spa", "deu", "fra"]
 FALLBACK = {"por": "spa", "rus": "eng"}
+STUB = {"climate_change": ["drought", "sequía", "seca", "sécheresse"], "health": ["clinic", "health", "clínica"]}
 SCORES = ["bm25_climate", "bm25_health", "bm25_avg"]
 
 
@@ -278,8 +279,7 @@ def keyword_articles(s, d, topic: str = "climate") -> DataFrame:
 
 def stub_classified(s, d) -> DataFrame:
     docs = table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
-    words = {"climate_change": ["drought", "sequía", "seca", "sécheresse"], "health": ["clinic", "health", "clínica"]}
-    return inference.classify(docs, inference.keyword_stub(words), list(words), wait=0.0)
+    return inference.classify(docs, inference.keyword_stub(STUB), list(STUB), wait=0.0)
 
 
 def queries() -> dict:
@@ -525,6 +525,8 @@ SELECT topic, lang, CAST((SELECT count(*) FROM f g WHERE g.topic = f.topic AND g
         "annotation_join": w + ANNOTATIONS + " SELECT DISTINCT a.id, " + ", ".join(f"CAST({c} AS BOOLEAN) AS {c}" for c in LABELS) + " FROM articles a JOIN (SELECT * FROM ann WHERE " + " AND ".join(f"{c} <> '-'" for c in LABELS) + ") USING (id)",
         "annotation_counters": w + ANNOTATIONS + ", a AS (SELECT DISTINCT id FROM articles), j AS (SELECT ann.id IS NULL AS none, " + " OR ".join(f"{c} = '-'" for c in LABELS) + " AS lacks FROM a LEFT JOIN ann USING (id)) SELECT count(*) AS n, count(*) FILTER (NOT none AND NOT lacks) AS n_used, count(*) FILTER (none) AS n_no_match, count(*) FILTER (NOT none AND lacks) AS n_missing FROM j",
         "chat_turns": w + ANNOTATIONS + ", b AS (SELECT DISTINCT id, regexp_replace(regexp_replace(coalesce(title, '') || chr(10) || chr(10) || coalesce(content, ''), '^" + BLANK + "+', ''), '" + BLANK + "+$', '') AS body FROM articles) SELECT id, '### Article:' || chr(10) || CASE WHEN length(body) > 10000 THEN left(body, 10000) || '...' ELSE body END AS user_text, '<think>' || chr(10) || 'short' || chr(10) || '</think>' || chr(10) || chr(10) || '```yaml' || chr(10) || " + " || ".join(f"'{c}:' || chr(10) || '  label: ' || {c} || chr(10)" for c in LABELS) + " || '```' AS assistant_text FROM b JOIN ann USING (id) WHERE " + " AND ".join(f"{c} <> '-'" for c in LABELS),
+        "chat_messages": w + LABELLED + ", b AS (SELECT DISTINCT id, regexp_replace(regexp_replace(coalesce(title, '') || chr(10) || chr(10) || coalesce(content, ''), '^" + BLANK + "+', ''), '" + BLANK + "+$', '') AS body FROM articles), t AS (SELECT id, '### Article:' || chr(10) || CASE WHEN length(body) > 10000 THEN left(body, 10000) || '...' ELSE body END AS u, '<think>' || chr(10) || 'short' || chr(10) || '</think>' || chr(10) || chr(10) || '```yaml' || chr(10) || " + " || ".join(f"'{c}:' || chr(10) || '  label: ' || coalesce({c}, false) || chr(10)" for c in LABELS) + " || '```' AS a FROM b JOIN labelled USING (id)) SELECT id, CAST(to_json([struct_pack(role := 'system', content := 'Label the article.'), struct_pack(role := 'user', content := u), struct_pack(role := 'assistant', content := a)]) AS VARCHAR) AS messages FROM t",
+        "classify_stub": "SELECT doc_id AS id, " + ", ".join("(" + " OR ".join(f"contains(lower(text), '{x}')" for x in xs) + f") AS {c}" for c, xs in STUB.items()) + ", CAST(NULL AS VARCHAR) AS error FROM documents WHERE text IS NOT NULL",
         "combo_from_text": w + ANNOTATIONS + " SELECT " + " || '-' || ".join(f"CASE {c} WHEN 'true' THEN 'T' ELSE 'F' END" for c in LABELS) + " AS combo, count(DISTINCT id) AS n FROM ann WHERE id IN (SELECT id FROM articles) AND " + " AND ".join(f"{c} <> '-'" for c in LABELS) + " GROUP BY 1",
         "optional_predicates": "SELECT collection_method, count(DISTINCT id) AS n FROM articles WHERE language = 'eng' AND (source_uri IS NULL OR source_uri <> 'gulquidaily.test') GROUP BY 1",
         "distinct_counts": "SELECT source_uri, count(DISTINCT id) AS n_id, count(DISTINCT country) AS n_country, count(DISTINCT language) AS n_language FROM articles GROUP BY 1",
