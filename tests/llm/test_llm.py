@@ -53,6 +53,25 @@ def test_edges_have_no_cases(spark, clocks, samples):
     assert {r.doc_id: r.ids for r in bpe.p8_ids(d).collect()} == {1: [], 2: [], 3: [220]}
 
 
+def test_very_long_texts(spark, clocks, samples):
+    """Half a megabyte of lines, one line without an end, and a run of letters without a blank."""
+    line = "The river authority measured the water and the children waited for the new clinic.\n"
+    texts = [line * 6000, "The river authority measured " * 15_000, "a" * 20_000, "我们测量了水" * 20_000, "é" * 50_000, "\n" * 100_000 + "x"]
+    rows = [(f"l{i}", "T" * 3000, t, "s", None, "page") for i, t in enumerate(texts)]
+    a = articles(spark, rows)
+    assert {r.id for r in truncation.p1_found(a).collect()} <= {f"l{i}" for i in range(len(texts))}
+    assert boilerplate.p3_found(a, clocks, samples).count() >= 0 and boilerplate.main_body(a, clocks, samples).count() == len(texts)
+    assert sum(r.n_tokens for r in bpe.p4_tokens(a).collect()) > 100_000
+    assert langid.p5_found(a, samples).where("line_no = 0").count() >= 4 and langid.p5_segments(a, samples).count() > 6000
+    assert sitelines.p6_found(a).count() == 0 and lookalike.p7_found(a).count() == 0
+    d = a.selectExpr("cast(substr(id, 2) as bigint) as doc_id", "content as text")
+    ids = {r.doc_id: len(r.ids) for r in bpe.p8_ids(d).collect()}
+    assert ids[0] == 16 * 6000 and ids[2] > 100
+    item = spark.createDataFrame([(1, (line * 2).replace("\n", " ")), (2, "other words " * 400)], "item_id long, text string")
+    assert {r.doc_id for r in leakage.p9_found(d, item).where("item_id = 1").collect()} == {0}
+    assert {r.doc_id for r in mojibake.p10_found(d).collect()} <= {4} and mojibake.p10_restored(d).count() == len(texts)  # a row of accented letters may count as garbled
+
+
 def test_truncation(spark):
     story = "The water board described the damage. " + "Volunteers are counting the wells in the lowlands again. " * 8
     rows = [
@@ -247,6 +266,31 @@ def test_tokens_like_the_public_tokenizer():
     assert bpe._counted(texts, bpe._Known(v)) == [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
 
 
+def test_long_pieces_like_one_merge_after_another():
+    rng = np.random.default_rng(8)
+    v = bpe.vocabulary(bpe.vocabulary_path())
+    pieces = [b"a" * 301, b"ab" * 400, "我们测量了水".encode() * 60, "é".encode() * 333, bytes(rng.integers(0, 256, 700).astype(np.uint8)), b"the" * 150 + b"er" * 90, b"-=" * 400]
+    pieces += [bytes(rng.choice(list(b"etaoin shr"), 600).astype(np.uint8)) for _ in range(20)]
+    for p in pieces:
+        size = 1 << (len(p) - 1).bit_length()
+        assert bpe._encode_long([p], size, v)[0].tolist() == bpe._encode_class([p], size, v)[0].tolist()
+    got = bpe._encode_long(pieces, 2048, v)
+    assert [x.tolist() for x in got] == [bpe._encode_class([p], 2048, v)[0].tolist() for p in pieces]
+    assert [len(x) for x in got] == [bpe.count_symbols(p, v) for p in pieces]
+
+    class Odd(bpe.Vocabulary):  # a longer string that ranks below its part: merging all at once would be wrong
+        def __init__(self):
+            self.pairs = {(1, 2): 10, (0, 10): 5, (5, 1): 6, (6, 2): 7}
+
+        def rank_of(self, a, b):
+            return np.array([self.pairs.get((int(x), int(y)), bpe.INF) for x, y in zip(a, b)])
+
+    o = Odd()
+    o.byte = np.arange(256)
+    for raw in (bytes([0, 1, 2, 1, 2, 1, 2]), bytes([1, 2, 0, 1, 2, 1, 2, 0, 1, 2] * 3)):
+        assert bpe._encode_long([raw], 32, o)[0].tolist() == bpe._encode_class([raw], 32, o)[0].tolist()
+
+
 def test_budget_counts_copies_once(spark):
     rows = [("a", None, "one two", "s", "eng", "feed"), ("a", None, "two one", "s", "eng", "feed"), ("b", None, None, "s", None, "feed"), ("b", None, "", "s", None, "feed")]
     got = {(r.slice, r.value): (r.n_articles, r.n_tokens) for r in bpe.p4_budget(articles(spark, rows * 3)).collect()}
@@ -298,20 +342,25 @@ def test_mojibake(good, by, written):
     assert mojibake.restored_text(bad) in (good, "Pflegekräften")
 
 
+def test_long_tokens_come_out_like_short_ones():
+    for good, by in (("déclarée", "cp1252"), ("très", "mac_roman"), ("für ", "cp437")):
+        bad = good.encode().decode(by)
+        assert "".join(mojibake._parts(bad * 300)) == bad * 300 and mojibake.restored_text(bad * 300) == good * 300
+
+
 def test_search_finds_the_cheapest_text():
-    """Against every path of up to three readings, however the states are reached."""
+    """Against every descending path of up to four steps."""
     def all_paths(token):
-        best, todo, dist = (mojibake.cost(token) - mojibake.MARGIN, None), [(token, 0.0, False)], {token: 0.0}
-        for _ in range(3):
+        best, todo = (mojibake.cost(token) - mojibake.MARGIN, None), [(mojibake.cost(token), token, 0.0, False)]
+        for _ in range(4):
             more = []
-            for text, paid, read in todo:
+            for whole, text, paid, read in todo:
                 for out, price, reading in mojibake._steps(text, 1e9):
-                    now, c = paid + price, paid + price + mojibake.cost(out)
-                    if (read or reading) and c < best[0]:
-                        best = (c, out)
-                    if c < mojibake.cost(token) + mojibake.SLACK and now < dist.get(out, 1e9):
-                        dist[out] = now
-                        more.append((out, now, read or reading))
+                    c = paid + price + mojibake.cost(out)
+                    if c < whole:
+                        more.append((c, out, paid + price, read or reading))
+                        if (read or reading) and c < best[0]:
+                            best = (c, out)
             todo = more
         return best[1]
 

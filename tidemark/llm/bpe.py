@@ -30,6 +30,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Distinct pieces a worker remembers, and the longest of them in characters (longer ones are worked out each time), so about
 #: 100 MB at most; when full, the cache starts anew.
 CACHE, LONGEST = 300_000, 64
+#: Pieces of more bytes have all places of a rank merged at once.
+LONG = 256
 INF = np.int64(2**62)
 
 
@@ -191,6 +193,90 @@ def _encode_class(rows: list[bytes], size: int, v: Vocabulary) -> list[np.ndarra
     return [s[s >= 0] for s in sym]
 
 
+def _encode_long(rows: list[bytes], size: int, v: Vocabulary) -> list[np.ndarray]:
+    """``_encode_class`` for long pieces: every place of the root's rank is merged at once, found by going down the tree.
+
+    That is the order of one merge after another as long as no pair that arises ranks below the one merged; in a tree where
+    one does, the merge is taken back and only the leftmost place is merged.
+    """
+    n = len(rows)
+    length = np.array([len(r) for r in rows])
+    raw = np.zeros((n, size), np.uint8)
+    inside = np.arange(size)[None, :] < length[:, None]
+    raw[inside] = np.frombuffer(b"".join(rows), np.uint8)
+    sym = np.where(inside, v.byte[raw], -1)
+    pos = np.arange(size)
+    nxt, prv = np.tile(pos + 1, (n, 1)), np.tile(pos - 1, (n, 1))
+    tree = np.full((n, 2 * size), INF, np.int64)
+    tree[:, size : 2 * size - 1] = v.rank_of(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, size - 1)
+    level = size // 2
+    while level:
+        kids = tree[:, 2 * level : 4 * level]
+        tree[:, level : 2 * level] = np.minimum(kids[:, 0::2], kids[:, 1::2])
+        level //= 2
+
+    def pairs(t, i):
+        """(rank of i with its right neighbour, left neighbour, rank with that)."""
+        k, p = nxt[t, i], prv[t, i]
+        after = np.where(k < length[t], sym[t, np.minimum(k, size - 1)], -1)
+        before = np.where(p >= 0, sym[t, np.maximum(p, 0)], -1)
+        return v.rank_of(sym[t, i], after), p, v.rank_of(before, sym[t, i])
+
+    def merge(t, i, rank):
+        j = nxt[t, i]
+        k = nxt[t, j]
+        old = (t, i, j, k, sym[t, i], sym[t, j])
+        sym[t, i], sym[t, j] = rank, -1
+        nxt[t, i] = k
+        has = k < length[t]
+        prv[t[has], k[has]] = i[has]
+        return old
+
+    live = np.flatnonzero(tree[:, 1] < INF)
+    while len(live):
+        least = tree[:, 1]
+        t, node = live, np.ones(len(live), np.int64)
+        while node[0] < size:  # all nodes are of one level
+            t, node = np.repeat(t, 2), np.stack([2 * node, 2 * node + 1], 1).ravel()
+            keep = tree[t, node] == least[t]
+            t, node = t[keep], node[keep]
+        i = node - size
+        # of places side by side (as in a run of one letter) every other one, from the left
+        fresh = np.append(True, (t[1:] != t[:-1]) | (nxt[t[:-1], i[:-1]] != i[1:]))
+        at = np.arange(len(t))
+        take = (at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0
+        t, i = t[take], i[take]
+        rank = least[t]
+        t_, i_, j, k, sym_i, sym_j = merge(t, i, rank)
+        r1, p, r0 = pairs(t, i)
+        bad = np.zeros(n, bool)
+        bad[t[(r1 < rank) | (r0 < rank)]] = True
+        if bad.any():
+            b = bad[t]
+            tb, ib, jb, kb = t[b], i[b], j[b], k[b]
+            sym[tb, ib], sym[tb, jb] = sym_i[b], sym_j[b]
+            nxt[tb, ib] = jb
+            has = kb < length[tb]
+            prv[tb[has], kb[has]] = jb[has]
+            one = ~b | np.append(True, t[1:] != t[:-1])
+            redo = b & one
+            merge(t[redo], i[redo], rank[redo])
+            t, i, j = t[one], i[one], j[one]
+            r1, p, r0 = pairs(t, i)
+        tree[t, size + i] = r1
+        tree[t, size + j] = INF
+        left = p >= 0
+        tree[t[left], size + p[left]] = r0[left]
+        touched = np.unique(np.concatenate([t * (2 * size) + size + i, t * (2 * size) + size + j, (t * (2 * size) + size + p)[left]]))
+        t, node = touched // (2 * size), touched % (2 * size)
+        for _ in range(size.bit_length() - 1):
+            up = np.unique(t * (2 * size) + node // 2)
+            t, node = up // (2 * size), up % (2 * size)
+            tree[t, node] = np.minimum(tree[t, 2 * node], tree[t, 2 * node + 1])
+        live = live[tree[live, 1] < INF]
+    return [s[s >= 0] for s in sym]
+
+
 def encode_pieces(pieces: list[bytes], v: Vocabulary, at_once: int = 2_000_000) -> list[np.ndarray]:
     """Ids of each piece."""
     out: list = [None] * len(pieces)
@@ -205,8 +291,9 @@ def encode_pieces(pieces: list[bytes], v: Vocabulary, at_once: int = 2_000_000)
             classes.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(i)
     for size, rows in classes.items():
         step = max(1, at_once // size)
+        encode = _encode_class if size <= LONG else _encode_long
         for k in range(0, len(rows), step):
-            for i, ids in zip(rows[k : k + step], _encode_class([pieces[i] for i in rows[k : k + step]], size, v)):
+            for i, ids in zip(rows[k : k + step], encode([pieces[i] for i in rows[k : k + step]], size, v)):
                 out[i] = ids
     return out
 

@@ -3,10 +3,11 @@
 Every token (a run without blanks) that isn't plain ASCII is the start of a graph whose edges undo one wrong reading (encode
 with the codec it was read by, decode with the one it was written in) or one escape. States are visited once (hash set)
 and expanded in the order of their cost: how implausible the characters and their neighbours are, plus what the edges taken
-so far cost. The search ends when nothing is left to expand: a state whose edges alone cost as much as the best text found
-can't lead to a cheaper one, and texts more than ``SLACK`` dearer than the token are no way to anywhere. Both are told from
-the bytes before a text is even decoded, as no character costs less than its kind's least. There is no limit on steps or states.
-A token is garbled if a text at the end of at least one reading is clearly cheaper than the token. Each distinct
+so far cost. A way leads through texts each cheaper than the one before, edges included; so the search ends by itself,
+without a limit on steps or states. What can't be cheaper is told from the bytes before a text is even decoded, as no
+character costs less than its kind's least.
+A long token is searched in parts, cut where no reading has a character going on (before the character of a lead byte or
+an ASCII one; a token without such a place stays whole), so that each part comes out as it would within the whole. A token is garbled if a text at the end of at least one reading is clearly cheaper than the token. Each distinct
 token is searched once per worker (bounded cache).
 
 Replacement characters and C1 controls result from a wrong reading by themselves, restorable or not. Character entities,
@@ -34,10 +35,10 @@ WRITTEN_IN = {"utf-8": 0.5, "cp1251": 5.0, "gbk": 5.0, "cp1252": 7.0, "koi8-r":
 #: Cheaper steps: confusions that are common and leave a plain trace.
 CHEAP = {("mac_roman", "cp1252"): 2.8, ("cp850", "cp1252"): 2.8, ("cp437", "cp1252"): 2.8, ("cp1251", "cp1252"): 4.0, ("cp1251", "koi8-r"): 3.0, ("koi8-r", "cp1251"): 3.0, ("gb18030", "cp1252"): 4.0,
          ("cp1252", "mac_roman"): 4.0, ("cp1252", "cp850"): 4.0, ("latin-1", "cp1252"): 2.0}
-#: So much cheaper a text must be; so much dearer a text on the way may be.
-MARGIN, SLACK = 0.6, 12.0
-#: Remembered tokens, and the longest of them.
-CACHE, LONGEST = 200_000, 64
+#: So much cheaper than the token a text must be.
+MARGIN = 0.6
+#: Remembered tokens, and the longest of them; a part is cut at the first safe place after so many characters.
+CACHE, LONGEST, PART = 200_000, 64, 64
 
 _COMMON = set("àáâãäçèéêëìíîïñòóôõöùúûüßœæ")
 _COMMON_UP = {c.upper() for c in _COMMON if len(c.upper()) == 1}
@@ -227,21 +228,22 @@ def restore(token: str) -> str | None:
     best, found = start - MARGIN, None
     heap, seen, tick = [(start, 0, token, 0.0, False)], {token: 0.0}, 0
     while heap:
-        _, _, text, paid, read = heapq.heappop(heap)
+        whole, _, text, paid, read = heapq.heappop(heap)
         if paid >= best or paid > seen[text]:
             continue
-        for out, price, reading in _steps(text, start + SLACK - paid, best - paid):
+        for out, price, reading in _steps(text, whole - paid, best - paid):
             now = paid + price
             if now >= min(best, seen.get(out, best)):
                 continue
-            seen[out] = now  # a text is visited again only by a cheaper way
             c = cost(out) + now
+            if c >= whole:
+                continue
+            seen[out] = now  # a text is visited again only by a cheaper way
             # what an escape alone gains doesn't count: the reading must pay for itself
             if (read or reading) and c < best:
                 best, found = c, out
-            if c < start + SLACK:
-                tick += 1
-                heapq.heappush(heap, (c, tick, out, now, read or reading))
+            tick += 1
+            heapq.heappush(heap, (c, tick, out, now, read or reading))
     return found
 
 
@@ -274,8 +276,7 @@ def _token_text(token: str) -> str:
     got = _known.get(token)
     if got is None:
         got = token
-        parts = _STOPS.split(token)
-        got = "".join((restore(x) or x) if not x.isascii() or "&" in x else x for x in parts)
+        got = "".join((_restored(x) or x) if not x.isascii() or "&" in x else x for x in _parts(token))
         if _HAN.search(got):
             for a, b, back in reversed(_han_readings(got)):
                 got = got[:a] + back + got[b:]
@@ -287,6 +288,25 @@ def _token_text(token: str) -> str:
 
 
 _STOPS = re.compile("([，。])")
+_restored = lru_cache(maxsize=20_000)(restore)
+
+
+@lru_cache(maxsize=100_000)
+def _safe_before(c: str) -> bool:
+    """Whether no single-byte reading makes ``c`` the continuation of a character."""
+    return c.isascii() or not any(0x80 <= t[c] < 0xC0 for t in _SINGLE.values() if c in t)
+
+
+def _parts(token: str) -> list[str]:
+    """Pieces of a token, which together are the token."""
+    out = []
+    for x in _STOPS.split(token):
+        while len(x) > PART:
+            end = next((i for i in range(PART, len(x)) if _safe_before(x[i])), len(x))
+            out.append(x[:end])
+            x = x[end:]
+        out.append(x)
+    return out
 
 
 def changes(text: str) -> dict[str, str]:
