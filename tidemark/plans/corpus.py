@@ -10,6 +10,7 @@ from tidemark.functions import text as X
 from tidemark.operators import inference, keywords, metrics, posterior, rollup, sampler, sampling, timestamps
 from tidemark.session import table
 from tidemark.sources import sinks
+from tidemark.streaming import ingest
 
 LABELS = ["climate_change", "health", "health_effects_of_climate_change", "health_effects_of_extreme_weather"]
 AVAILABLE = ["eng", "spa", "deu", "fra"]
@@ -310,6 +311,7 @@ def queries() -> dict:
         "first_sources": lambda s, d: sampling.first_sources(t(s, d, "articles").select("source_uri", "id"), "source_uri", 5, ["babre-courier.invalid"]).groupBy("source_uri").agg(F.count(F.lit(1)).alias("n")),
         "stats_by_period": lambda s, d: rollup.stats_from_rows(facts(s, d).where("cc").withColumn("time_period", rollup.period_label(F.to_timestamp(F.concat("month", F.lit("-01"))), "quarterly")), [*K4, "time_period"], F.col("health")),
         "posterior_extremes": lambda s, d: posterior.extremes(posterior.summary(draws(s, d), ["param"]), "param"),
+        "windowed_counts": lambda s, d: ingest.windowed_counts(t(s, d, "events"), "ts", "event_type"),
         "current_time": lambda s, d: t(s, d, "events").select(L.utc_now(F.max("ts")).alias("at")),
         "monthly_cell_rollup": cells,
         "sufficient_stats_yearly": lambda s, d: rollup.sufficient_stats(cells(s, d).withColumn("year", F.substring("month", 1, 4)), [*K4, "year"], "k_hecc_cc", "n_cc"),
@@ -542,6 +544,7 @@ SELECT CASE WHEN language IN (SELECT language FROM top) THEN language ELSE 'othe
         "first_sources": "SELECT source_uri, count(*) AS n FROM articles WHERE source_uri IN (SELECT DISTINCT source_uri FROM articles WHERE source_uri <> 'babre-courier.invalid' ORDER BY 1 LIMIT 5) GROUP BY 1",
         "stats_by_period": w + FACTS + " SELECT source, country, grp, substr(month, 1, 4) || 'Q' || CAST((CAST(substr(month, 6, 2) AS INTEGER) + 2) // 3 AS VARCHAR) AS time_period, count(*) FILTER (health) AS k, count(health) AS n FROM facts WHERE cc GROUP BY ALL HAVING count(health) > 0",
         "posterior_extremes": w + DRAWS + ", m AS (SELECT param, round(quantile_cont(value, 0.5), 6) AS median FROM draws GROUP BY param) (SELECT 'top' AS side, param, median FROM m ORDER BY median DESC, param LIMIT 5) UNION ALL (SELECT 'bottom', param, median FROM m ORDER BY median, param LIMIT 5)",
+        "windowed_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
         "current_time": "SELECT strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS at FROM events",
     }
 
