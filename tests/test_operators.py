@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import labels as L
 from tidemark.functions import text as X
-from tidemark.operators import inference, keywords, metrics, posterior, rollup, sampler, sampling
+from tidemark.operators import inference, keywords, marginal, metrics, posterior, rollup, sampler, sampling
 from tidemark.operators import timestamps as T
 from tidemark.sources import readers, sinks
 from tidemark.streaming import ingest
@@ -175,6 +175,49 @@ def test_gradient(time, options):
     assert ("prevalence_group_time" in params) is time and ("prevalence_time" in params) is (time and options.get("global_time", True))
 
 
+def test_gradient_of_centred_countries():
+    rng = np.random.default_rng(0)
+    c = np.repeat([f"c{i}" for i in range(6)], 8)
+    n, p = rng.integers(50, 90, len(c)), np.where(c < "c3", np.repeat(np.linspace(0.1, 0.8, 6), 8), 0.3)
+    for independent in (False, True):
+        m = sampler.Model(c, np.where(c < "c3", "x", "y"), rng.binomial(n, p), n, independent=independent)
+        assert m.centred.tolist() == [True] * 3 + [False] * 3
+        q = rng.normal(0, 0.3, m.size)
+        g = m.log_density(q)[1]
+        assert max(abs((m.log_density(q + e)[0] - m.log_density(q - e)[0]) / 2e-6 - x) for x, e in zip(g, np.eye(m.size) * 1e-6)) < 1e-4
+
+
+@pytest.mark.parametrize("visits", [1, 10**9])
+def test_marginal_like_a_dense_sum(monkeypatch, visits):
+    """Patches (fitted at the first visit) and quadrature against 200,001 points."""
+    monkeypatch.setattr(marginal, "VISITS", visits)
+    z = np.linspace(-12, 12, 200_001)
+    rows = [(0, 0, 300, 1), (0, 150, 300, 2), (0, 0, 0, 1), (1, 1, 1, 5), (1, 0, 4, 1), (2, 40, 5000, 1)]
+    m = marginal.Marginal(*(np.array(x) for x in zip(*[(c, float(k), float(n), float(w)) for c, k, n, w in rows])), 3)
+    for e, s in ((np.array([-0.4, 0.7, -5.0]), np.array([0.02, 1.5, 0.4])), (np.array([0.3, -2.0, -4.0]), np.array([1.2, 1e-6, 0.1]))):
+        want = np.zeros((3, 3))
+        for c, k, n, w in rows:
+            eta = e[c] + s[c] * z
+            h = k * eta - n * np.logaddexp(0, eta) - z * z / 2
+            d, r = np.exp(h - h.max()), k - n / (1 + np.exp(-eta))
+            want[:, c] += w * np.array([h.max() + np.log(d.sum() * (z[1] - z[0]) / np.sqrt(2 * np.pi)), (d @ r) / d.sum(), (d @ (r * z)) / d.sum()])
+        assert np.allclose(m(e, s), want, rtol=1e-5, atol=1e-5)
+        assert m.fitted.all() == (visits == 1)
+
+
+def test_sampler_costs_by_countries_not_sources(spark):
+    """A chain has no parameter per source, holds equal rows once, and the draws are made once for all who read them."""
+    two = sampler.Model(["a", "b"], ["x", "x"], [3, 5], [10, 20])
+    many = sampler.Model(["a", "b"] * 3000, ["x"] * 6000, [3, 5] * 3000, [10, 20] * 3000)
+    assert many.size == two.size
+    pooled = sampler.Model(["a", "b"], ["x", "x"], [3, 5], [10, 20], weight=[3000, 3000])
+    q = np.random.default_rng(1).normal(0, 0.3, two.size)
+    assert np.allclose(many.log_density(q)[0], pooled.log_density(q)[0]) and np.allclose(many.log_density(q)[1], pooled.log_density(q)[1])
+    stats = spark.createDataFrame([("a", "x", 3, 10)] * 50 + [("b", "x", 5, 20)] * 50, "country string, group string, k long, n long")
+    d = sampler.hierarchical_prevalence(stats, chains=2, draws=20, tune=20, max_rows=2)
+    assert d.count() == 2 * 20 * 5 and "MapInPandas" not in d._jdf.queryExecution().toString()
+
+
 def test_sampler_finds_the_truth(spark):
     rng = np.random.default_rng(3)
     rows = []
